@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import binary, bpe, url_filters
+from weft.llm import binary, bpe, packing, simhash, url_filters
 from weft.llm._common import table
 
 #: Rules of op8: host, path, verdict.
@@ -24,6 +24,16 @@ def vocabulary(name: str) -> str:
         return f.read()
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=0)
+    return packed.select(F.col("row_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), simhash.hexed().alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = binary.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID)
     return binary.read_documents(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -42,6 +52,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
+        "op2_simhash": op2_simhash,
         "op5_binary": op5_binary,
         "op8_url_filters": op8_url_filters,
         "op10_bpe": op10_bpe,
