@@ -40,7 +40,7 @@ def pack(ids: np.ndarray) -> bytes:
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     now, planes = ids.astype(np.uint16 if levels <= 16 else np.uint32), []
     for shift in range(levels - 1, -1, -1):
-        ones = (now >> shift) & 1 != 0
+        ones = now & now.dtype.type(1 << shift) != 0
         planes.append(np.packbits(ones, bitorder="little").tobytes())
         if shift:
             now = np.concatenate((now[~ones], now[ones]))
@@ -185,8 +185,8 @@ def write_shards(docs: DataFrame, source: str, end_id: int, doc_id: str = "doc_i
             return out
 
         for batch in _common.slices(batches, "text"):
-            for name, body in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = tool.ids(body) + end
+            for name, found in zip(batch.column("row_id").to_pylist(), tool.ids_of(batch.column("text").to_pylist()), strict=True):
+                found += end
                 names.append(name)
                 ids.append(found)
                 lengths.append(len(found) // 2)

@@ -40,8 +40,8 @@ def cut(docs: DataFrame, source: str, end_id: int = 0, capacity: int = CAPACITY,
         tool = tokens.library(source, "plain", "<u4")
         for batch in _common.slices(batches, "text"):
             rows: list[tuple] = []
-            for row_id, body in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = tool.ids(body) + end
+            for row_id, ids in zip(batch.column("row_id").to_pylist(), tool.ids_of(batch.column("text").to_pylist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((row_id, piece, at // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else None))

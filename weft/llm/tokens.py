@@ -21,8 +21,8 @@ SPACES = "\t-\r \x85\xa0"
 BYTE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
-#: Words that a worker remembers; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+#: Words that a worker remembers beside those of the texts at hand; beyond it the cache starts anew.
+CACHE_WORDS = 1_200_000
 
 _made: dict[tuple, object] = {}
 
@@ -35,20 +35,6 @@ def latin1(text: str) -> bool:
     return True
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned integers of `dtype`."""
-
-    def __init__(self, encode, dtype: str) -> None:
-        super().__init__()
-        self.encode, self.dtype = encode, dtype
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = np.array(self.encode(word), self.dtype).tobytes()
-        return out
-
-
 class Library:
     """Whole texts to ids, exactly as the `tokenizers` library gives them.
 
@@ -61,13 +47,60 @@ class Library:
         self.tool = Tokenizer.from_str(source)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.dtype = kind, dtype
-        self.words = WordIds(lambda word: self.tool.encode(word, add_special_tokens=False).ids, dtype)
+        self.words: dict[str, bytes] = {}
+        if kind == "byte":
+            self.split = self._ends_of_bytes
+            (self.line,) = self._encode("\n")
+        else:
+            self.split = self._ends_of_plain
+            size = self.tool.get_vocab_size()
+            self.closes = np.array([self.tool.id_to_token(k).endswith("</w>") for k in range(size)])
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    # Many words go through the library in one text, and their ids are told apart again:
+    # by line ends between byte-level words, by the mark of a word's end in the other vocabulary.
+
+    def _ends_of_bytes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = self._encode("\n".join(words) + "\n")
+        ends = np.flatnonzero(ids == self.line)
+        return ids, np.concatenate(([0], ends[:-1] + 1)), ends
+
+    def _ends_of_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = self._encode(" ".join(words))
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return ids, np.concatenate(([0], ends[:-1])), ends
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.words) + len(words) > CACHE_WORDS:
+            self.words.clear()
+        alone = [w for w in words if not w.isprintable() or w.isspace()]
+        many = list(words.difference(alone))
+        for at in range(0, len(many), 4096):
+            some = many[at : at + 4096]
+            ids, starts, ends = self.split(some)
+            if len(ends) != len(some):
+                alone += some
+                continue
+            raw, wide = ids.tobytes(), ids.itemsize
+            self.words.update((w, raw[a * wide : b * wide]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
+        for w in alone:
+            self.words[w] = self._encode(w).tobytes()
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        find = BYTE_WORDS.findall if self.kind == "byte" else lambda text: PLAIN_WORDS.findall(text.lower())
+        found = [find(t) if latin1(t) else None for t in texts]
+        fresh = set().union(*(x for x in found if x is not None))
+        fresh.difference_update(self.words)
+        if len(self.words) + len(fresh) > CACHE_WORDS:
+            fresh = set().union(*(x for x in found if x is not None))
+        self._learn(fresh)
+        of = self.words.__getitem__
+        return [b"".join(map(of, x)) if x is not None else self._encode(t).tobytes() for x, t in zip(found, texts, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        if not latin1(text):
-            return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        found = BYTE_WORDS.findall(text) if self.kind == "byte" else PLAIN_WORDS.findall(text.lower())
-        return b"".join(map(self.words.__getitem__, found))
+        return self.ids_of([text])[0]
 
 
 def library(source: str, kind: str, dtype: str = "<u2") -> Library:
