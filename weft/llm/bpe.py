@@ -1,14 +1,12 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Every chunk of documents (`CHUNK_BYTES` of text) becomes one row: a dictionary of its pre-tokens and,
-in order of position, each pre-token's place in that dictionary. The dictionaries are exploded, made
-distinct over the whole corpus, and each distinct word is encoded once. The ids are joined back to
-the (chunk, place) rows and meet their chunk again, where the positions put them in order. So the
-shuffles carry a chunk's distinct words instead of all its words. Decoding looks every id up in the
-token-byte table, which has one row for each id of the vocabulary.
-
-A common word has one row in each chunk: the join on words is a plain sort-merge join whose large
-partitions Spark splits, and the distinct is combined before its shuffle.
+in order of position, each pre-token's place in that dictionary. The dictionaries are exploded and
+dealt out by word, so that all rows of a word meet in one task, where it is encoded once and its ids
+join each row. The rows (chunk, place, ids) then meet their chunk again, where the positions put
+them in order. So both shuffles carry a chunk's distinct words instead of all its words, and even
+the most common word has one row a chunk only. Decoding looks every id up in the token-byte table,
+which has one row for each id of the vocabulary.
 
 Defined results: a null text counts as empty; an empty text has no ids; repeated rows each get their
 own result; a null id stays null; other columns are not read.
@@ -27,7 +25,9 @@ from pyspark.sql import functions as F
 
 from weft.llm import _common, tokens
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
+#: Words whose ids a task remembers.
+MEMO_WORDS = 1_000_000
 
 _CHUNKS = "chunk long, row_ids array<long>, n_words array<int>, codes binary, words array<string>"
 
@@ -64,13 +64,18 @@ def encode(docs: DataFrame, source: str, pattern: str, doc_id: str = "doc_id", t
     spread = chunks.select("chunk", F.posexplode("words").alias("code", "word"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = tokens.ranks(source, pattern)
+        tool, known = tokens.ranks(source, pattern), {}
         for batch in batches:
-            ids = [np.array(tool.encode(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
-
-    known = spread.select("word").distinct().mapInArrow(merge, "word string, ids binary")
-    found = spread.join(known, "word").select("chunk", "code", "ids")
+            words = batch.column("word").to_pylist()
+            if len(known) > MEMO_WORDS:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = np.array(tool.encode(w), "<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("code"), pa.array([known[w] for w in words], pa.binary())], names=["chunk", "code", "ids"])
+
+    dealt = spread.repartition(_common.parallelism(docs.sparkSession), "word")
+    found = dealt.mapInArrow(merge, "chunk long, code int, ids binary")
     kind = "string" if digests else "binary"
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
