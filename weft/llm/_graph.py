@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,20 @@ def _canonical(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _signature(edges: DataFrame) -> tuple[int, int | None]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).head()
     return row.n, row.x
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node of its component) that join what the links a-b join among n nodes."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        then = label.copy()
+        for side in (a, b):
+            np.minimum.at(then, side, least)
+            np.minimum.at(then, label[side], least)
+        then = then[then]
+        if (then == label).all():
+            break
+        label = then
+    joined = np.flatnonzero(label != np.arange(n))
+    return joined, label[joined]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import binary, bpe, packing, simhash, url_filters
+from weft.llm import binary, bpe, embedding_dedup, packing, simhash, url_filters
 from weft.llm._common import table
 
 #: Rules of op8: host, path, verdict.
@@ -39,6 +39,11 @@ def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_documents(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return found.select(F.col("row_id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("row_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filters.RULE_SCHEMA)
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), rules, "allow", keep=["page_id"])
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
         "op5_binary": op5_binary,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_url_filters": op8_url_filters,
         "op10_bpe": op10_bpe,
     }

@@ -157,19 +157,8 @@ def forest(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         return (np.zeros(0, np.uint64),) * 2
     names, index = np.unique(fp, return_inverse=True)
     a, b = (index[np.concatenate(x)] for x in zip(*found, strict=True))
-    label = np.arange(len(names))
-    while True:
-        least = np.minimum(label[a], label[b])
-        then = label.copy()
-        for side in (a, b):
-            np.minimum.at(then, side, least)
-            np.minimum.at(then, label[side], least)
-        then = then[then]
-        if (then == label).all():
-            break
-        label = then
-    joined = np.flatnonzero(label != np.arange(len(names)))
-    return names[joined], names[label[joined]]
+    joined, roots = _graph.spanning(len(names), a, b)
+    return names[joined], names[roots]
 
 
 def _outright(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
