@@ -148,11 +148,12 @@ def forest(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         found.append((left[near], right[near]))
     for k in np.flatnonzero(~small):
         own = np.arange(starts[k], starts[k] + sizes[k])
-        if cross[k]:
-            second = rows["second"][own]
-            found += _cross(fp, own[~second], own[second], radius)
-        else:
-            found += _within(fp, own, radius)
+        second = rows["second"][own]
+        pairs = _cross(fp, own[~second], own[second], radius) if cross[k] else _within(fp, own, radius)
+        if pairs:  # a dense shard has far more pairs than the links that join them
+            a, b = (np.concatenate(x) - starts[k] for x in zip(*pairs, strict=True))
+            a, b = _graph.spanning(len(own), a, b)
+            found.append((own[a], own[b]))
     if not found:
         return (np.zeros(0, np.uint64),) * 2
     names, index = np.unique(fp, return_inverse=True)
