@@ -133,8 +133,8 @@ class Ranks:
     def split(self, text: str) -> list[str]:
         return BYTE_WORDS.findall(text) if latin1(text) else self.pattern.findall(text)
 
-    def encode(self, word: str) -> list[int]:
-        return self.tool._encode_single_piece(word.encode())
+    def encode(self, word: bytes) -> list[int]:
+        return self.tool._encode_single_piece(word)
 
 
 def ranks(source: str, pattern: str) -> Ranks:
