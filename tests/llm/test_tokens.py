@@ -85,3 +85,14 @@ def test_wavelet_matrix(top):
         matrix.access(3000)
     empty = binary.WaveletMatrix(binary.pack(np.zeros(0, np.uint32)))
     assert empty.tokens().tolist() == [] and empty.count(0) == 0
+
+
+@pytest.mark.parametrize("n, top", [(0, 1), (1, 1), (5000, 40), (5000, 100_000)])
+def test_places_are_undone(n, top):
+    flat = np.random.default_rng(n).integers(0, top, n).astype(np.uint32) ** 2 % max(1, top)
+    _, first, index, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+    order = np.lexsort((first, -times))
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order))
+    places = place[index]
+    assert bpe.unsqueeze_places(bpe.squeeze_places(places, int((times > 1).sum()))).tolist() == places.tolist()

@@ -49,6 +49,35 @@ def unsqueeze(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def squeeze_places(places: np.ndarray, repeated: int) -> bytes:
+    """Places of words, of which those from `repeated` on occur once each and in this order.
+
+    Those need no number. Of the others, the number of bits goes into one compressed stream, and the
+    bits below the leading one are packed by that number.
+    """
+    x = np.where(places >= repeated, 0, places + np.uint32(1)).astype(np.uint32)
+    bits = np.zeros(len(x), np.uint8)
+    bits[x > 0] = np.floor(np.log2(x[x > 0])).astype(np.uint8) + 1
+    parts = [zstandard.ZstdCompressor(level=6).compress(bits.tobytes())]
+    for n in range(1, 33):
+        own = x[bits == n] if n > 1 else x[:0]
+        parts.append(np.packbits((own[:, None] >> np.arange(n - 1, dtype=np.uint32) & np.uint32(1)).astype(np.uint8)).tobytes())
+    return _joined(struct.pack("<I", repeated), *parts)
+
+
+def unsqueeze_places(x: bytes) -> np.ndarray:
+    head, stream, *parts = _parted(x, 34)
+    bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(stream), np.uint8)
+    out = np.zeros(len(bits), np.uint32)
+    for n, part in enumerate(parts, 1):
+        at = np.flatnonzero(bits == n)
+        low = np.unpackbits(np.frombuffer(part, np.uint8), count=len(at) * (n - 1)).reshape(len(at), n - 1)
+        out[at] = (1 << (n - 1)) - 1 + low @ (1 << np.arange(n - 1, dtype=np.uint32))
+    once = np.flatnonzero(bits == 0)
+    out[once] = struct.unpack("<I", head)[0] + np.arange(len(once), dtype=np.uint32)
+    return out
+
+
 def _joined(*parts: bytes) -> bytes:
     return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
 
@@ -75,13 +104,14 @@ def chunked(docs: DataFrame, source: str, pattern: str, buckets: int, doc_id: st
                 counts.append(len(words))
             flat = np.concatenate(codes)
             # The commonest word comes first, so that most places are small numbers.
-            order = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")
+            times = np.bincount(flat, minlength=len(seen))
+            order = np.argsort(-times, kind="stable")
             place = np.empty(len(seen), np.uint32)
             place[order] = np.arange(len(seen), dtype=np.uint32)
             words = [w.encode() for w in seen]
             at = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
             by = np.lexsort((place, at))
-            rows = [(None, squeeze(place[flat]))]
+            rows = [(None, squeeze_places(place[flat], int(np.count_nonzero(times > 1))))]
             for own in np.split(by, np.flatnonzero(np.diff(at[by])) + 1) if len(by) else ():
                 body = [words[k] for k in own.tolist()]
                 sizes = np.fromiter(map(len, body), np.uint32, len(body))
@@ -139,7 +169,7 @@ def encode(docs: DataFrame, source: str, pattern: str, doc_id: str = "doc_id", t
         starts[places], lengths[places] = np.cumsum(sizes) - sizes, sizes
         out: list[list] = [[], [], [], []]
         for row in rows.to_pylist():
-            codes, at = unsqueeze(row["payload"]), 0
+            codes, at = unsqueeze_places(row["payload"]), 0
             for row_id, n in zip(row["row_ids"], row["n_words"], strict=True):
                 own = codes[at : at + n]
                 at += n
