@@ -43,7 +43,7 @@ def pack(ids: np.ndarray) -> bytes:
         ones = now & now.dtype.type(1 << shift) != 0
         planes.append(np.packbits(ones, bitorder="little").tobytes())
         if shift:
-            now = np.concatenate((now[~ones], now[ones]))
+            now = np.concatenate((np.compress(~ones, now), np.compress(ones, now)))
     squeeze = zstandard.ZstdCompressor(level=1).compress
     parts = [squeeze(x) for x in planes]
     return b"".join((_HEAD.pack(b"WVM1", levels, len(ids)), *(struct.pack("<I", len(x)) for x in parts), *parts))
@@ -152,9 +152,10 @@ class WaveletMatrix:
         out = np.zeros(self.n, kind)
         for shift, plane in enumerate(reversed(self.planes)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            above, zeros = np.empty(self.n, kind), self.n - int(np.count_nonzero(ones))
-            above[~ones] = out[:zeros]
-            above[ones] = out[zeros:] | kind(1 << shift)
+            lower, upper = np.flatnonzero(~ones), np.flatnonzero(ones)
+            above = np.empty(self.n, kind)
+            above[lower] = out[: len(lower)]
+            above[upper] = out[len(lower) :] | kind(1 << shift)
             out = above
         return out
 

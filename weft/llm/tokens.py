@@ -1,8 +1,8 @@
 """Words and ids of public tokenizers, with each distinct word encoded once a worker.
 
 The pre-tokenizer's words come from a plain `re` pattern where a text is Latin-1 (the classes are
-then written out in full), and from the library itself for any other text. Words go through the
-library once and are remembered in a cache of bounded size.
+then written out in full); any other text goes through the library whole. Words go through the
+library's merges once and are remembered in a cache of bounded size.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -24,6 +26,8 @@ PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{S
 #: Words that a worker remembers beside those of the texts at hand; beyond it the cache starts anew.
 CACHE_WORDS = 1_200_000
 
+assert sys.byteorder == "little", "ids are written as little-endian numbers"
+
 _made: dict[tuple, object] = {}
 
 
@@ -43,61 +47,40 @@ class Library:
 
     def __init__(self, source: str, kind: str, dtype: str = "<u2") -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tool = Tokenizer.from_str(source)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.dtype = kind, dtype
-        self.words: dict[str, bytes] = {}
-        if kind == "byte":
-            self.split = self._ends_of_bytes
-            (self.line,) = self._encode("\n")
-        else:
-            self.split = self._ends_of_plain
-            size = self.tool.get_vocab_size()
-            self.closes = np.array([self.tool.id_to_token(k).endswith("</w>") for k in range(size)])
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    # Many words go through the library in one text, and their ids are told apart again:
-    # by line ends between byte-level words, by the mark of a word's end in the other vocabulary.
-
-    def _ends_of_bytes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = self._encode("\n".join(words) + "\n")
-        ends = np.flatnonzero(ids == self.line)
-        return ids, np.concatenate(([0], ends[:-1] + 1)), ends
-
-    def _ends_of_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = self._encode(" ".join(words))
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        return ids, np.concatenate(([0], ends[:-1])), ends
-
-    def _learn(self, words: set[str]) -> None:
+        self.model, self.words = self.tool.model, {}
+        self.code = {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        # The characters that stand for bytes in the vocabulary, as the library itself writes them.
+        write = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters: dict[int, str] = {}
+        for k in (*range(0x800), *range(0x800, 0x10000, 64), *range(0x10000, 0x110000, 4096)):
+            if not 0xD800 <= k < 0xE000:
+                self.letters.update(zip(chr(k).encode(), write(chr(k))[0][0], strict=True))
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _of_words(self, words: set[str]) -> dict[str, bytes]:
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
-        alone = [w for w in words if not w.isprintable() or w.isspace()]
-        many = list(words.difference(alone))
-        for at in range(0, len(many), 4096):
-            some = many[at : at + 4096]
-            ids, starts, ends = self.split(some)
-            if len(ends) != len(some):
-                alone += some
-                continue
-            raw, wide = ids.tobytes(), ids.itemsize
-            self.words.update((w, raw[a * wide : b * wide]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
-        for w in alone:
-            self.words[w] = self._encode(w).tobytes()
+        known, merge, letters, code, out = self.words.get, self.model.tokenize, self.letters, self.code, {}
+        for w in words:
+            found = known(w)
+            if found is None:
+                found = self.words[w] = array(code, [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]).tobytes()
+            out[w] = found
+        return out
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         find = BYTE_WORDS.findall if self.kind == "byte" else lambda text: PLAIN_WORDS.findall(text.lower())
         found = [find(t) if latin1(t) else None for t in texts]
-        fresh = set().union(*(x for x in found if x is not None))
-        fresh.difference_update(self.words)
-        if len(self.words) + len(fresh) > CACHE_WORDS:
-            fresh = set().union(*(x for x in found if x is not None))
-        self._learn(fresh)
-        of = self.words.__getitem__
-        return [b"".join(map(of, x)) if x is not None else self._encode(t).tobytes() for x, t in zip(found, texts, strict=True)]
+        # The words at hand in a small dictionary of their own: most words are looked up many times.
+        of = self._of_words(set().union(*(x for x in found if x is not None))).__getitem__
+        return [b"".join(map(of, x)) if x is not None else self._encode(t) for x, t in zip(found, texts, strict=True)]
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
