@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import binary, bpe, embedding_dedup, packing, simhash, url_filters
+from weft.llm import binary, bpe, embedding_dedup, packing, pii, simhash, url_filters
 from weft.llm._common import table
 
 #: Rules of op8: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: The key of op3's surrogates; a secret where it matters.
+PII_KEY = "surrogates of the public corpus"
 #: The end id of op5's documents.
 END_ID = 2
 
@@ -34,6 +36,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_id").alias("doc_id"), simhash.hexed().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = binary.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID)
     return binary.read_documents(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
+        "op3_pii": op3_pii,
         "op5_binary": op5_binary,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_url_filters": op8_url_filters,
