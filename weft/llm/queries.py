@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import binary, bpe, embedding_dedup, packing, pii, simhash, url_filters
+from weft.llm import ann, binary, bpe, embedding_dedup, packing, pii, simhash, url_filters
 from weft.llm._common import table
 
 #: Rules of op8: host, path, verdict.
@@ -45,6 +45,10 @@ def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_documents(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("row_id") % 20 == 0, k=20)
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
     return found.select(F.col("row_id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("row_id").eqNullSafe(F.col("component")).alias("kept"))
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_pii": op3_pii,
         "op5_binary": op5_binary,
+        "op6_ann": op6_ann,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_url_filters": op8_url_filters,
         "op10_bpe": op10_bpe,
