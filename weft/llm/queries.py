@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import ann, binary, bpe, embedding_dedup, packing, pii, simhash, url_filters
+from weft.llm import ann, binary, bpe, embedding_dedup, packing, pii, quality, simhash, url_filters
 from weft.llm._common import table
 
 #: Rules of op8: host, path, verdict.
@@ -59,6 +59,21 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), rules, "allow", keep=["page_id"])
 
 
+def held_out(doc_id: str = "row_id") -> F.Column:
+    """Rows that never teach op9 and the pipeline's classifier."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model | quality.Constant:
+    return quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality_model(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ann": op6_ann,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_url_filters": op8_url_filters,
+        "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,
     }
 
