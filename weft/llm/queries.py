@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import ann, binary, bpe, embedding_dedup, packing, pii, quality, simhash, url_filters
+from weft.llm import ann, binary, bpe, embedding_dedup, packing, pii, quality, simhash, suffix_dedup, url_filters
 from weft.llm._common import table
 
 #: Rules of op8: host, path, verdict.
@@ -40,6 +40,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.cut(docs).select("doc_id", "text", F.size("spans").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_cut"))
+
+
 def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = binary.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID)
     return binary.read_documents(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
         "op3_pii": op3_pii,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_binary": op5_binary,
         "op6_ann": op6_ann,
         "op7_embedding_dedup": op7_embedding_dedup,
