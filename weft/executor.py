@@ -50,6 +50,8 @@ class SparkExecutor:
         missing = self.link_existing(snapshot, outputs, prints)
         if made.one_job and len(missing) > 1:
             self.build_together(snapshot, made, outputs, {k: needs[k] for k in missing}, prints)
+        elif len(missing) == 1:
+            self.build_one(snapshot, made, outputs, missing[0], needs[missing[0]], prints[missing[0]])
         elif missing:
             with ThreadPoolExecutor(max_workers=max(1, min(self.threads, len(missing)))) as pool:
                 for done in [pool.submit(self.build_one, snapshot, made, outputs, key, needs[key], prints[key]) for key in missing]:

@@ -10,12 +10,13 @@ import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft import types
 from weft.formats import CSV, JSON, Format, Parquet, Pickle
 from weft.model import Fingerprint
+from weft.session import current as session
 from weft.sources import LocalFile, Partition, Snapshot, Storage, StringLiteral
 from weft.sources.files import FileStorage
 from weft.views import FrameView, PythonView, View
@@ -69,10 +70,6 @@ def write(data: Any, t: types.Type, format: Format, partition: Partition, view:
     return partition.snapshot()
 
 
-def session() -> SparkSession:
-    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-
-
 # Plain values
 
 

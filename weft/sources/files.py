@@ -13,10 +13,9 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any, ClassVar, Self
 
-from pyspark.sql import SparkSession
-
 from weft.model import Fingerprint, frozendict
 from weft.partitions import InputFingerprints
+from weft.session import current
 from weft.sources.base import DEFAULT, Partition, Snapshot, Storage, wanted_only
 
 #: A folder's note of its rows' digest, hidden from Spark's readers by its first letter.
@@ -107,9 +106,7 @@ class SparkFile(FileStorage):
 
     @staticmethod
     def _system(path: str) -> tuple[Any, Any]:
-        spark = SparkSession.getActiveSession()
-        if spark is None:
-            raise RuntimeError("reading a SparkFile needs a running session")
+        spark = current()
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
