@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
 
+_kept: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,7 +41,9 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    if not _kept:
+        atexit.register(_forget, spark)
+    _kept.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path  # type: ignore[attr-defined]
@@ -50,7 +55,7 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "stash_path", None)
     if path:
         _delete(df.sparkSession, path)
-        atexit.unregister(_forget)
+        _kept.discard(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -59,11 +64,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        _delete(spark, path)
-    except Exception:  # the session may be gone at exit
-        return
+def _forget(spark: SparkSession) -> None:
+    """At exit; a session that is gone by then leaves its folders behind."""
+    with contextlib.suppress(Exception):
+        for path in _kept:
+            _delete(spark, path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

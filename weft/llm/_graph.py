@@ -21,13 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
+        # Minima are tables of their own: only between two plain shuffles does Spark split a node's many links.
+        least = _common.stash(both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m")), "least")
         large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        tied = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select("x.v", "x.m")
+        large = _common.stash(large, "large")
+        lower = _common.stash(large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "least")
+        tied = large.join(lower, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select("x.v", "x.m")
         then = _common.stash(_canonical(tied, "v", "m"), "links")
         after = _signature(then)
-        _common.discard(now)
+        for gone in (now, least, large, lower):
+            _common.discard(gone)
         now = then
         if after == before:
             break

@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = named.groupBy("component").agg(F.min("least").alias("smallest"))
     linked = members.join(roots, "component").select("node", "smallest")
     labelled = nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("own"), F.coalesce(F.when(F.col("node").isNotNull(), F.col("smallest")), F.col("least")).alias("component"))
+    labelled = _common.stash(labelled, "labelled")  # a plain shuffle on either side, so that one text's many copies are split
     return prints.join(labelled, F.col("fp") == F.col("own")).select("row_id", "fp", "component")
 
 
