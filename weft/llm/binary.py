@@ -148,14 +148,15 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: the planes undone from the last to the first."""
-        kind = np.uint16 if self.levels <= 16 else np.uint32
-        out = np.zeros(self.n, kind)
+        out = np.zeros(self.n, np.uint8)
         for shift, plane in enumerate(reversed(self.planes)):
+            if shift in (8, 16):  # no wider than its bits need
+                out = out.astype(np.uint16 if shift == 8 else np.uint32)
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             lower, upper = np.flatnonzero(~ones), np.flatnonzero(ones)
-            above = np.empty(self.n, kind)
+            above = np.empty(self.n, out.dtype)
             above[lower] = out[: len(lower)]
-            above[upper] = out[len(lower) :] | kind(1 << shift)
+            above[upper] = out[len(lower) :] | out.dtype.type(1 << shift)
             out = above
         return out
 
@@ -185,7 +186,7 @@ def write_shards(docs: DataFrame, source: str, end_id: int, doc_id: str = "doc_i
                 x.clear()
             return out
 
-        for batch in _common.slices(batches, "text"):
+        for batch in _common.slices(batches, "text", tokens.SLICE_BYTES):
             for name, found in zip(batch.column("row_id").to_pylist(), tool.ids_of(batch.column("text").to_pylist()), strict=True):
                 found += end
                 names.append(name)

@@ -38,7 +38,7 @@ def cut(docs: DataFrame, source: str, end_id: int = 0, capacity: int = CAPACITY,
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tokens.library(source, "plain", "<u4")
-        for batch in _common.slices(batches, "text"):
+        for batch in _common.slices(batches, "text", tokens.SLICE_BYTES):
             rows: list[tuple] = []
             for row_id, ids in zip(batch.column("row_id").to_pylist(), tool.ids_of(batch.column("text").to_pylist()), strict=True):
                 ids += end

@@ -12,6 +12,7 @@ import hashlib
 import re
 import sys
 from array import array
+from operator import itemgetter
 
 import numpy as np
 
@@ -23,6 +24,8 @@ SPACES = "\t-\r \x85\xa0"
 BYTE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 8 << 20
 #: Words that a worker remembers beside those of the texts at hand; beyond it the cache starts anew.
 CACHE_WORDS = 1_200_000
 
@@ -79,8 +82,16 @@ class Library:
         find = BYTE_WORDS.findall if self.kind == "byte" else lambda text: PLAIN_WORDS.findall(text.lower())
         found = [find(t) if latin1(t) else None for t in texts]
         # The words at hand in a small dictionary of their own: most words are looked up many times.
-        of = self._of_words(set().union(*(x for x in found if x is not None))).__getitem__
-        return [b"".join(map(of, x)) if x is not None else self._encode(t) for x, t in zip(found, texts, strict=True)]
+        of = self._of_words(set().union(*(x for x in found if x is not None)))
+        out = []
+        for words, text in zip(found, texts, strict=True):
+            if words is None:
+                out.append(self._encode(text))
+            elif len(words) > 1:
+                out.append(b"".join(itemgetter(*words)(of)))
+            else:
+                out.append(of[words[0]] if words else b"")
+        return out
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
