@@ -44,7 +44,7 @@ class Type(Model):
         return None
 
     def to_dict(self) -> dict[str, Any]:
-        out: dict[str, Any] = {"type": type(self).__name__}
+        out: dict[str, Any] = {"kind": type(self).__name__}
         for f in dataclasses.fields(self):
             value = getattr(self, f.name)
             if value == f.default:
@@ -62,17 +62,17 @@ class Type(Model):
     def from_dict(found: Mapping[str, Any]) -> Type:
         kwargs = {}
         for k, v in found.items():
-            if k == "type":
+            if k == "kind":
                 continue
             if isinstance(v, Mapping):
-                v = Type.from_dict(v) if "type" in v and isinstance(v["type"], str) else {n: Type.from_dict(t) for n, t in v.items()}
+                v = Type.from_dict(v) if isinstance(v.get("kind"), str) else {n: Type.from_dict(t) for n, t in v.items()}
             kwargs[k] = tuple(v) if isinstance(v, list) else v
-        return REGISTRY[found["type"]](**kwargs)
+        return REGISTRY[found["kind"]](**kwargs)
 
 
 def _simple(name: str, spark: T.DataType, low: int | None = None, high: int | None = None) -> type[Type]:
     def breaks(self: Type, x: Column) -> Column | None:
-        return None if low is None else (x < F.lit(low)) | (x > F.lit(high))
+        return None if low is None else (x < F.lit(str(low)).cast(spark)) | (x > F.lit(str(high)).cast(spark))
 
     made = dataclasses.dataclass(frozen=True, kw_only=True)(type(name, (Type,), {"spark": lambda self: spark, "breaks": breaks, "__module__": __name__, "__annotations__": {}}))
     return made
