@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,32 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 _kept: set[str] = set()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, wherever the driver has it from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    top = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp()  # the driver serves it to executors as they come
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{top.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parallelism(spark: SparkSession) -> int:
+    ship(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -40,6 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
     if not _kept:
         atexit.register(_forget, spark)

@@ -180,6 +180,7 @@ def fit(own: np.ndarray, n_lines: np.ndarray, labels: np.ndarray) -> Model | Con
 
 def learn(docs: DataFrame, labels: DataFrame, teaches: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | Constant:
     """Fit on the documents whose labels may teach (`teaches`, over the labels' `row_id`)."""
+    _common.ship(docs.sparkSession)
     known = labels.select(F.col(doc_id).cast("long").alias("row_id"), F.col(label).cast("int").alias("label")).where(F.col("row_id").isNotNull() & F.col("label").isNotNull() & teaches)
     chosen = known.groupBy("row_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE_DOCS)
     rows = docs.select(F.col(doc_id).cast("long").alias("row_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "row_id")
@@ -203,5 +204,6 @@ def score(docs: DataFrame, model: Model | Constant, text: str = "text", name: st
         for batch in _common.slices(batches, text):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(text).to_pylist()), pa.float64())], names=[*batch.schema.names, name])
 
+    _common.ship(docs.sparkSession)
     kept = docs.drop(name)
     return kept.mapInArrow(of, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
