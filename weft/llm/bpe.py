@@ -96,19 +96,12 @@ def chunked(docs: DataFrame, source: str, pattern: str, buckets: int, doc_id: st
         tool, chunk = tokens.ranks(source, pattern), TaskContext.get().partitionId() << 32
         press = zstandard.ZstdCompressor(level=3).compress
         for part in _common.slices(batches, "text", CHUNK_BYTES):
-            seen: dict[str, int] = {}
-            counts, codes = [], []
-            for body in part.column("text").to_pylist():
-                words = tool.split(body)
-                codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.uint32, len(words)))
-                counts.append(len(words))
-            flat = np.concatenate(codes)
-            # The commonest word comes first, so that most places are small numbers.
-            times = np.bincount(flat, minlength=len(seen))
-            order = np.argsort(-times, kind="stable")
-            place = np.empty(len(seen), np.uint32)
-            place[order] = np.arange(len(seen), dtype=np.uint32)
-            words = [w.encode() for w in seen]
+            found = tool.split(part.column("text").to_pylist())
+            flat, words, counts = found.places, found.distinct, np.diff(found.first)
+            times = np.bincount(flat, minlength=len(words))
+            order = np.argsort(-times, kind="stable")  # the commonest word first, so that most places are small
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
             at = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
             by = np.lexsort((place, at))
             rows = [(None, squeeze_places(place[flat], int(np.count_nonzero(times > 1))))]
@@ -118,7 +111,7 @@ def chunked(docs: DataFrame, source: str, pattern: str, buckets: int, doc_id: st
                 rows.append((int(at[own[0]]), _joined(squeeze(np.diff(place[own], prepend=np.uint32(0))), squeeze(sizes), press(b"".join(body)))))
             ids = [part.column("row_id").to_pylist(), *[None] * (len(rows) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * len(rows)), pa.array([b for b, _ in rows], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array([counts, *[None] * (len(rows) - 1)], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.binary())],
+                [pa.array([chunk] * len(rows)), pa.array([b for b, _ in rows], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array([counts.tolist(), *[None] * (len(rows) - 1)], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.binary())],
                 names=["chunk", "bucket", "row_ids", "n_words", "payload"],
             )
             chunk += 1

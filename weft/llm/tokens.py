@@ -1,8 +1,8 @@
 """Words and ids of public tokenizers, with each distinct word encoded once a worker.
 
-The pre-tokenizer's words come from a plain `re` pattern where a text is Latin-1 (the classes are
-then written out in full); any other text goes through the library whole. Words go through the
-library's merges once and are remembered in a cache of bounded size.
+Where texts are Latin-1, the pre-tokenizer's words are cut in arrays of characters (whose classes are
+written out in full below); any other text goes through the library whole. Words go through the library's merges once
+and are remembered in a cache of bounded size.
 """
 
 from __future__ import annotations
@@ -12,17 +12,85 @@ import hashlib
 import re
 import sys
 from array import array
-from operator import itemgetter
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+
+from weft.llm import _common
 
 #: Letters, numbers and white space among the Latin-1 characters (fixed values of Unicode).
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
 SPACES = "\t-\r \x85\xa0"
 
-BYTE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+_LETTER, _NUMBER, _OTHER, _SPACE = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+for _kind, _of in ((_LETTER, LETTERS), (_NUMBER, NUMBERS), (_SPACE, SPACES)):
+    for _c in range(256):
+        if re.fullmatch(f"[{_of}]", chr(_c)):
+            _CLASS[_c] = _kind
+_LOWER = bytes(chr(c).lower().encode("latin-1")[0] for c in range(256))
+
+
+@dataclass(frozen=True)
+class Words:
+    """Words of some texts: the distinct ones, each word's place among them, and each text's first word and the end."""
+
+    distinct: list[bytes]
+    places: np.ndarray
+    first: np.ndarray
+
+
+def words(raw: list[bytes], spaced: bool) -> Words:
+    """Words of Latin-1 texts, as the vocabularies' patterns cut them.
+
+    A pattern's cuts depend on a character and its neighbours only, so all texts are cut at once.
+    spaced: byte-level BPE's pattern, in which a space goes with the word after it and other white space
+    makes words; else numbers are single and white space only parts words (and is a word here).
+    """
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    n, starts = len(data), np.cumsum([0, *map(len, raw)])
+    if not n:
+        return Words([], np.zeros(0, np.int32), np.zeros(len(starts), np.int64))
+    kind = _CLASS[data]
+    cut, opens = np.empty(n, bool), np.zeros(n + 3, bool)
+    opens[starts] = True
+    before, after = kind[:-1], kind[1:]
+    np.not_equal(before, after, out=cut[1:])
+    if spaced:
+        blank = kind == _SPACE
+        cut[1:] &= ~(blank[:-1] & ~blank[1:] & (data[:-1] == 32))
+        # Of several blanks before a word the last stands alone, for the word or for itself.
+        cut[1:-1] |= blank[:-2] & blank[1:-1] & ~blank[2:] & ~opens[2:n]
+    else:
+        cut[1:] |= (before == _NUMBER) | (after == _NUMBER)
+    cut |= opens[:n]
+    marks = np.flatnonzero(data == 39)
+    if len(marks):
+        _contractions(data, kind, cut, opens, marks, spaced)
+    bounds = np.append(np.flatnonzero(cut), n)
+    found = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+    return Words(found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(bounds, starts))
+
+
+def _contractions(data: np.ndarray, kind: np.ndarray, cut: np.ndarray, opens: np.ndarray, marks: np.ndarray, spaced: bool) -> None:
+    """'s 't 'm 'd 're 've 'll are words where the mark begins one."""
+    n = len(data)
+    ahead = np.append(data, np.zeros(3, np.uint8))
+    last = kind[marks - 1]
+    begins = opens[marks] | (last == _LETTER) | (last == _NUMBER) | ((last == _SPACE) & ((data[marks - 1] != 32) if spaced else True))
+    one, two = ahead[marks + 1], ahead[marks + 2]
+    inside = (marks + 1 < n) & ~opens[marks + 1]
+    short = inside & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = inside & (marks + 2 < n) & ~opens[marks + 2] & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    for at, size in ((marks[begins & short], 2), (marks[begins & long], 3)):
+        cut[at] = True
+        for k in range(1, size):
+            cut[at + k] = False
+        ends = at + size
+        cut[ends[ends < n]] = True
+
 
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 8 << 20
@@ -31,15 +99,16 @@ CACHE_WORDS = 1_200_000
 
 assert sys.byteorder == "little", "ids are written as little-endian numbers"
 
-_made: dict[tuple, object] = {}
 
 
-def latin1(text: str) -> bool:
+def latin1(text: str) -> bytes | None:
     try:
-        text.encode("latin-1")
+        return text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return True
+        return None
+
+
+_made: dict[tuple, object] = {}
 
 
 class Library:
@@ -57,41 +126,38 @@ class Library:
         self.kind, self.dtype = kind, dtype
         self.model, self.words = self.tool.model, {}
         self.code = {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
-        # The characters that stand for bytes in the vocabulary, as the library itself writes them.
+        # What stands for a character's bytes in the vocabulary, as the library itself writes it.
         write = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.letters: dict[int, str] = {}
-        for k in (*range(0x800), *range(0x800, 0x10000, 64), *range(0x10000, 0x110000, 4096)):
-            if not 0xD800 <= k < 0xE000:
-                self.letters.update(zip(chr(k).encode(), write(chr(k))[0][0], strict=True))
+        self.letters = {k: write(chr(k))[0][0] for k in range(256)}
+        self.blanks = {chr(k) for k in np.flatnonzero(_CLASS == _SPACE).tolist()}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _of_words(self, words: set[str]) -> dict[str, bytes]:
-        if len(self.words) + len(words) > CACHE_WORDS:
+    def _of_words(self, found: list[bytes]) -> list[bytes]:
+        if len(self.words) + len(found) > CACHE_WORDS:
             self.words.clear()
-        known, merge, letters, code, out = self.words.get, self.model.tokenize, self.letters, self.code, {}
-        for w in words:
-            found = known(w)
-            if found is None:
-                found = self.words[w] = array(code, [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]).tobytes()
-            out[w] = found
+        known, merge, letters, code, out = self.words.get, self.model.tokenize, self.letters, self.code, []
+        for w in found:
+            ids = known(w)
+            if ids is None:
+                text = w.decode("latin-1")
+                ids = b"" if self.kind == "plain" and text[0] in self.blanks else array(code, [t.id for t in merge(text.translate(letters))]).tobytes()
+                self.words[w] = ids
+            out.append(ids)
         return out
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        find = BYTE_WORDS.findall if self.kind == "byte" else lambda text: PLAIN_WORDS.findall(text.lower())
-        found = [find(t) if latin1(t) else None for t in texts]
-        # The words at hand in a small dictionary of their own: most words are looked up many times.
-        of = self._of_words(set().union(*(x for x in found if x is not None)))
-        out = []
-        for words, text in zip(found, texts, strict=True):
-            if words is None:
-                out.append(self._encode(text))
-            elif len(words) > 1:
-                out.append(b"".join(itemgetter(*words)(of)))
-            else:
-                out.append(of[words[0]] if words else b"")
-        return out
+        raw = [latin1(t) for t in texts]
+        found = words([x.translate(_LOWER) if self.kind == "plain" else x for x in raw if x is not None], self.kind == "byte")
+        each = self._of_words(found.distinct)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.dtype).itemsize
+        flat, starts = np.frombuffer(b"".join(each), self.dtype), np.cumsum(sizes) - sizes
+        lengths = sizes[found.places]
+        ids = flat[_common.ragged(starts[found.places], lengths)]
+        ends = np.concatenate(([0], np.cumsum(lengths)))[found.first].tolist()
+        own = iter([ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)])
+        return [self._encode(t) if x is None else next(own) for x, t in zip(raw, texts, strict=True)]
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
@@ -124,8 +190,21 @@ class Ranks:
         self.start = np.cumsum(self.length) - self.length
         self.flat = np.frombuffer(b"".join(each), np.uint8)
 
-    def split(self, text: str) -> list[str]:
-        return BYTE_WORDS.findall(text) if latin1(text) else self.pattern.findall(text)
+    def split(self, texts: list[str]) -> Words:
+        """Words in UTF-8."""
+        raw = [latin1(t) for t in texts]
+        found = words([x or b"" for x in raw], True)
+        distinct = [w if w.isascii() else w.decode("latin-1").encode() for w in found.distinct]
+        if not any(x is None for x in raw):
+            return Words(distinct, found.places, found.first)
+        seen = {w: k for k, w in enumerate(distinct)}
+        parts = []
+        for k, (x, text) in enumerate(zip(raw, texts, strict=True)):
+            own = found.places[found.first[k] : found.first[k + 1]]
+            if x is None:
+                own = np.array([seen.setdefault(w.encode(), len(seen)) for w in self.pattern.findall(text)], np.int32)
+            parts.append(own)
+        return Words(list(seen), np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
 
     def encode(self, word: bytes) -> list[int]:
         return self.tool._encode_single_piece(word)
