@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft import CSV, JSON, Annotation, Artifact, Fingerprint, Graph, GraphSnapshot, LocalFile, MemoryBackend, Parquet, PartitionKey, Pickle, Producer, SparkExecutor, StringLiteral, producer
+from weft import CSV, JSON, Annotation, Artifact, Fingerprint, Graph, GraphSnapshot, LocalFile, MemoryBackend, Parquet, PartitionKey, Pickle, Producer, SparkExecutor, SparkFile, StringLiteral, producer
 from weft import types as t
 from weft.artifact import infer, literal
 from weft.partitions import DateField, Int64Field
@@ -246,11 +246,12 @@ def test_graphs_share_artifacts_and_check_inputs(spark):
         four.artifacts.y = more(x=four.artifacts.x).out(Out(storage=LocalFile(path="/x/y.json")))
 
 
-def test_writing(spark, tmp_path):
+@pytest.mark.parametrize("kind", [LocalFile, SparkFile])
+def test_writing(spark, tmp_path, kind):
     with Graph("write") as g:
-        g.artifacts.raw = Num(storage=LocalFile(path=str(tmp_path / "n.json")))
-        g.artifacts.table = Artifact(type=t.Collection(element=t.Struct(fields={"i": t.Int64(), "x": t.String(nullable=True)}), partition_by=("i",)), format=CSV(), storage=LocalFile(path=f"{tmp_path}/t/{{i.value}}.csv"))
-        g.artifacts.pickled = Artifact(type=t.List(element=t.Int64()), format=Pickle(), storage=LocalFile(path=str(tmp_path / "p.pickle")))
+        g.artifacts.raw = Num(storage=kind(path=str(tmp_path / "n.json")))
+        g.artifacts.table = Artifact(type=t.Collection(element=t.Struct(fields={"i": t.Int64(), "x": t.String(nullable=True)}), partition_by=("i",)), format=CSV(), storage=kind(path=f"{tmp_path}/t/{{i.value}}.csv"))
+        g.artifacts.pickled = Artifact(type=t.List(element=t.Int64()), format=Pickle(), storage=kind(path=str(tmp_path / "p.pickle")))
     g.write(7, g.artifacts.raw)
     g.write([1, 2], g.artifacts.pickled)
     for k in (1, 2):

@@ -6,6 +6,7 @@ import datetime
 import json
 import os
 import pickle
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
@@ -17,7 +18,7 @@ from weft import types
 from weft.formats import CSV, JSON, Format, Parquet, Pickle
 from weft.model import Fingerprint
 from weft.session import current as session
-from weft.sources import LocalFile, Partition, Snapshot, Storage, StringLiteral
+from weft.sources import LocalFile, Partition, Snapshot, SparkFile, Storage, StringLiteral
 from weft.sources.files import FileStorage
 from weft.views import FrameView, PythonView, View
 
@@ -129,6 +130,18 @@ register_writer(Pickle, LocalFile, PythonView)(lambda data, t, f, p: _put(p, pic
 register_writer(JSON, StringLiteral, PythonView)(lambda data, t, f, p: p.storage.write(p, dumps(data)))  # type: ignore[attr-defined]
 
 
+def _put_far(partition: Partition, raw: bytes) -> None:
+    staged = f"{partition.path}.{uuid.uuid4().hex}"
+    partition.storage.put(staged, raw)  # type: ignore[attr-defined]
+    partition.storage.publish(staged, partition.path)  # type: ignore[attr-defined]
+
+
+register_reader(JSON, SparkFile, PythonView)(_values(lambda p: json.loads(p.storage.get(p.path))))  # type: ignore[attr-defined]
+register_reader(Pickle, SparkFile, PythonView)(_values(lambda p: pickle.loads(p.storage.get(p.path))))  # type: ignore[attr-defined]
+register_writer(JSON, SparkFile, PythonView)(lambda data, t, f, p: _put_far(p, dumps(data).encode()))
+register_writer(Pickle, SparkFile, PythonView)(lambda data, t, f, p: _put_far(p, pickle.dumps(data)))
+
+
 # DataFrames
 
 
@@ -168,9 +181,8 @@ def _is_folder(p: Partition) -> bool:
 
 
 def _unnamed(pattern: str) -> str:
-    import re
-
-    return re.sub(r"\(\?P<p\d+>", "(", pattern).replace("(?P=", r"\k<") if "(?P=" not in pattern else re.sub(r"\(\?P=(p\d+)\)", "[^/]+", re.sub(r"\(\?P<p\d+>", "(", pattern))
+    """A path pattern for Spark: groups by number; a component that comes again is taken as it is."""
+    return re.sub(r"\(\?P=p\d+\)", "[^/]+", re.sub(r"\(\?P<p\d+>", "(", pattern))
 
 
 def rows_digest(df: DataFrame) -> list:

@@ -125,10 +125,7 @@ class SparkFile(FileStorage):
         note = f"{partition.path}/{NOTE}"
         beside, at = self._system(note)
         if beside.exists(at):
-            stream = beside.open(at)
-            raw = bytes(stream.readAllBytes())
-            stream.close()
-            return Fingerprint.from_int(json.loads(raw)["rows"])
+            return Fingerprint.from_int(json.loads(self.get(note))["rows"])
         if not system.exists(where):
             raise FileNotFoundError(partition.path)
         status = system.getFileStatus(where)
@@ -141,13 +138,27 @@ class SparkFile(FileStorage):
                 found.append([x.getPath().toString(), x.getLen(), x.getModificationTime()])
         return Fingerprint.of(sorted(found))
 
+    def get(self, path: str) -> bytes:
+        """A small file's bytes."""
+        system, where = self._system(path)
+        stream = system.open(where)
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def put(self, path: str, raw: bytes) -> None:
+        system, where = self._system(path)
+        stream = system.create(where, True)
+        try:
+            stream.write(bytearray(raw))
+        finally:
+            stream.close()
+
     def publish(self, staged: str, path: str, rows: Fingerprint | None = None) -> None:
         system, source = self._system(staged)
         if rows is not None:
-            _, note = self._system(f"{staged}/{NOTE}")
-            stream = system.create(note, True)
-            stream.write(bytearray(json.dumps({"rows": int(rows.key)}).encode()))
-            stream.close()
+            self.put(f"{staged}/{NOTE}", json.dumps({"rows": int(rows.key)}).encode())
         _, target = self._system(path)
         system.mkdirs(target.getParent())
         system.delete(target, True)
