@@ -36,7 +36,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: The forms of entities, the more special ones first.
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    r"(?<![\p{L}\p{N}])(?i:passwords?|passwd|pwd|secret|(?:auth|access|api|bearer|secret)?[_-]?(?:token|key))\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_~.-]{7,}[A-Za-z0-9+/_~=-]",
+    r"(?<![\p{L}\p{N}])(?i:passwords?|passwd|pwd|secret|(?:auth|access|api|bearer|secret)?[_-]?(?:token|key))\s{0,3}[:=]\s{0,3}[\"']?(?=[A-Za-z+/_~.-]*[0-9])[A-Za-z0-9+/_~.-]{5,}[A-Za-z0-9+/_~=-]",
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[bap]-)[A-Za-z0-9-]{20,}",
     r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
