@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from graphlib import TopologicalSorter
@@ -9,9 +10,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from weft import io
+from weft import io, types
 from weft.artifact import Artifact
 from weft.graph import GraphSnapshot
 from weft.model import Fingerprint
@@ -116,64 +118,75 @@ class SparkExecutor:
                 b.link(snapshot, snapshot.graph.key_of(a), found)
 
     def build_together(self, snapshot: GraphSnapshot, made: Producer, outputs: tuple[Artifact, ...], needs: Mapping[PartitionKey, Mapping[str, tuple[Snapshot, ...]]], prints: Mapping[PartitionKey, Fingerprint]) -> None:
-        """One job for all missing keys: one `build` over all their inputs, one partitioned write for each output."""
+        """One job for all missing keys: one `build` over all their inputs, one partitioned write for each output.
+
+        Checks and digests read what was written, so a single output is computed once and nothing is held;
+        only outputs that share their computation are kept for it.
+        """
         together = {name: tuple(dict.fromkeys(s for n in needs.values() for s in n[name])) for name in made.input_types}
         found = self.call(made, together)
         if not all(isinstance(d, DataFrame) for d in found):
             raise TypeError(f"{type(made).__name__} builds in one job, so its outputs must be DataFrames")
-        kept = [d.persist(StorageLevel.MEMORY_AND_DISK) for d in found]
+        kept = found if len(found) == 1 else tuple(d.persist(StorageLevel.MEMORY_AND_DISK) for d in found)
+        places = [{k: a.storage.partition(k, prints[k]) for k in needs} for a in outputs]
+        roots = [f"{next(iter(p.values())).path}.{uuid.uuid4().hex}" for p in places]
         try:
-            good, message = type(made).validate_outputs(*kept)
+            written = [_write_parts(d, a, root) for d, a, root in zip(kept, outputs, roots, strict=True)]
+            good, message = type(made).validate_outputs(*(types.conform(w, a.type) for w, a in zip(written, outputs, strict=True)))
             if not good:
                 raise ValueError(f"{type(made).__name__}: outputs aren't valid: {message}")
-            done = [self.write_together(d, a, needs, prints) for d, a in zip(kept, outputs, strict=True)]
+            digests = [_part_digests(w, a, p) for w, a, p in zip(written, outputs, places, strict=True)]
+            done = [self.publish_parts(a, p, root, rows) for a, p, root, rows in zip(outputs, places, roots, digests, strict=True)]
         finally:
-            for d in kept:
-                d.unpersist()
+            if kept is not found:
+                for d in kept:
+                    d.unpersist()
+            for a, root in zip(outputs, roots, strict=True):
+                a.storage.drop(root)  # type: ignore[attr-defined]
         self.record(snapshot, outputs, done)
 
-    def write_together(self, df: DataFrame, a: Artifact, keys: Mapping[PartitionKey, Any], prints: Mapping[PartitionKey, Fingerprint]) -> list[Snapshot]:
-        from weft import types
-
+    def publish_parts(self, a: Artifact, places: Mapping[PartitionKey, Partition], root: str, digests: Mapping[PartitionKey, Fingerprint]) -> list[Snapshot]:
         t: types.Collection = a.type  # type: ignore[assignment]
-        places = {k: a.storage.partition(k, prints[k]) for k in keys}
-        root = f"{next(iter(places.values())).path}.together"
-        shown = types.conform(df, t)
-        parts = {f"__{c}": F.coalesce(_text(t, c), F.lit("None")) for c in t.partition_by}
-        rows = shown.withColumns(parts)
-        # Few, large files: a key's rows meet in as many tasks as Spark finds right for their size.
-        rows = rows.hint("rebalance", *parts)
-        writer = rows.drop(*t.partition_by).write.partitionBy(*parts).mode("overwrite").format(a.format.spark_name)
-        writer.save(root)
-        digests = {tuple(r[c] for c in parts): r for r in rows.groupBy(*parts).agg(*io.rows_digest(shown.drop(*t.partition_by))).collect()}
         out = []
         for key, place in places.items():
-            names = tuple(_shown(key[c]) for c in t.partition_by)
-            r = digests.pop(names, None)
-            if r is None:
-                staged, rows_print = io.stage(shown.limit(0), t, a.format, place)
-            else:
-                staged = root + "".join(f"/{c}={v}" for c, v in zip(parts, names, strict=True))
-                rows_print = Fingerprint.of(r["n"], str(r["h1"]), str(r["h2"]))
-            place.storage.publish(staged, place.path, rows_print)  # type: ignore[attr-defined]
+            if key in digests:
+                staged, rows = root + "".join(f"/__{c}={key[c].value}" for c in t.partition_by), digests[key]
+            else:  # a key without rows is a partition all the same
+                empty = io.session().createDataFrame([], t.schema())
+                staged, rows = io.stage(empty, t, a.format, place)
+            place.storage.publish(staged, place.path, rows)  # type: ignore[attr-defined]
             out.append(place.snapshot())
-        a.storage.drop(root)  # type: ignore[attr-defined]
-        if digests:
-            raise ValueError(f"rows of keys that map doesn't name: {sorted(digests)[:5]}")
         return out
 
 
-def _shown(field: Any) -> str:
-    return str(field.value)
+def _write_parts(df: DataFrame, a: Artifact, root: str) -> DataFrame:
+    """Write by key, and read that back. A key's rows meet in as many tasks as Spark finds right for their size."""
+    t: types.Collection = a.type  # type: ignore[assignment]
+    parts = {f"__{c}": F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")) for c in t.partition_by}
+    rows = types.conform(df, t).withColumns(parts).drop(*t.partition_by).hint("rebalance", *parts)
+    writer = rows.write.partitionBy(*parts).format(a.format.spark_name)
+    (writer.option("header", True) if a.format.spark_name == "csv" else writer).save(root)
+    reader = io.session().read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]))
+    found = (reader.option("header", True) if a.format.spark_name == "csv" else reader).format(a.format.spark_name).load(root)
+    fields = {c: f.spark() for c, f in t.partition_fields.items()}
+    return found.withColumns({c: F.when(F.col(f"__{c}") != "None", F.col(f"__{c}")).cast(kind) for c, kind in fields.items()})
 
 
-def _text(t: Any, name: str) -> Any:
-    return F.col(f"`{name}`").cast("string")
+def _part_digests(written: DataFrame, a: Artifact, places: Mapping[PartitionKey, Partition]) -> dict[PartitionKey, Fingerprint]:
+    t: types.Collection = a.type  # type: ignore[assignment]
+    names = [f"__{c}" for c in t.partition_by]
+    inner = written.select(*(c for c in t.fields if c not in t.partition_by))
+    known = {tuple(str(k[c].value) for c in t.partition_by): k for k in places}
+    out = {}
+    for r in written.groupBy(*names).agg(*io.rows_digest(inner)).collect():  # a row for each output partition
+        key = tuple(r[c] for c in names)
+        if key not in known:
+            raise ValueError(f"rows of a key that map doesn't name: {key}")
+        out[known[key]] = Fingerprint.of(r["n"], str(r["h1"]), str(r["h2"]))
+    return out
 
 
 def _staged_frame(a: Artifact, there: Partition, key: PartitionKey) -> DataFrame:
-    from weft import types
-
     t: types.Collection = a.type  # type: ignore[assignment]
     inner = [f for f in t.schema().fields if f.name not in t.partition_by]
     reader = io.session().read.schema(type(t.schema())([type(f)(f.name, f.dataType, True) for f in inner]))
