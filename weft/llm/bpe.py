@@ -57,7 +57,8 @@ def squeeze_places(places: np.ndarray, repeated: int) -> bytes:
     """
     x = np.where(places >= repeated, 0, places + np.uint32(1)).astype(np.uint32)
     bits = np.zeros(len(x), np.uint8)
-    bits[x > 0] = np.floor(np.log2(x[x > 0])).astype(np.uint8) + 1
+    for n in range(32):
+        bits += x >= np.uint32(1 << n)
     parts = [zstandard.ZstdCompressor(level=6).compress(bits.tobytes())]
     for n in range(1, 33):
         own = x[bits == n] if n > 1 else x[:0]
@@ -96,8 +97,15 @@ def chunked(docs: DataFrame, source: str, pattern: str, buckets: int, doc_id: st
         tool, chunk = tokens.ranks(source, pattern), TaskContext.get().partitionId() << 32
         press = zstandard.ZstdCompressor(level=3).compress
         for part in _common.slices(batches, "text", CHUNK_BYTES):
-            found = tool.split(part.column("text").to_pylist())
-            flat, words, counts = found.places, found.distinct, np.diff(found.first)
+            seen: dict[bytes, int] = {}
+            flats, sizes = [], []
+            for some in _common.slices([part], "text", tokens.SLICE_BYTES):
+                found = tool.split(some.column("text").to_pylist())
+                known = np.fromiter((seen.setdefault(w, len(seen)) for w in found.distinct), np.uint32, len(found.distinct))
+                flats.append(known[found.places])
+                sizes.append(np.diff(found.first))
+            flat, words, counts = np.concatenate(flats), list(seen), np.concatenate(sizes)
+            del flats, seen
             times = np.bincount(flat, minlength=len(words))
             order = np.argsort(-times, kind="stable")  # the commonest word first, so that most places are small
             place = np.empty(len(words), np.uint32)
@@ -105,6 +113,7 @@ def chunked(docs: DataFrame, source: str, pattern: str, buckets: int, doc_id: st
             at = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
             by = np.lexsort((place, at))
             rows = [(None, squeeze_places(place[flat], int(np.count_nonzero(times > 1))))]
+            del flat, order
             for own in np.split(by, np.flatnonzero(np.diff(at[by])) + 1) if len(by) else ():
                 body = [words[k] for k in own.tolist()]
                 sizes = np.fromiter(map(len, body), np.uint32, len(body))
