@@ -81,6 +81,13 @@ def discard(df: DataFrame) -> None:
         _kept.discard(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables so far. Results that weren't written elsewhere can't be read after it."""
+    for path in list(_kept):
+        _delete(spark, path)
+        _kept.discard(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
