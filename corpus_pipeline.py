@@ -19,11 +19,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+    """One document of each group of near-duplicates (Jaccard similarity of 5-word shingles of 0.8 or more): the one with the smallest id.
 
     Rows without an id are kept; repeated rows of a kept id are one document and stay as they are.
     """
-    found = simhash.near_duplicates(docs).where("row_id is not null and component <> row_id").select(F.col("row_id").alias("__gone")).distinct()
+    found = simhash.similar(docs, words_each=5, similarity=0.8).where("component <> row_id").select(F.col("row_id").alias("__gone")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

@@ -89,3 +89,55 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.component for r in _graph.components(edges).collect()}
     assert got == {k: 0 for k in range(1, 301)} | {1001: 1000}
     assert _graph.components(edges.limit(0)).count() == 0
+
+
+def plain_similar(docs, similarity=0.8):
+    """doc_id -> smallest id of its component of exact 5-word Jaccard links, by brute force."""
+    sets = {}
+    for i, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            a, b = sets[i], sets[j]
+            small, large = sorted((len(a), len(b)))
+            if i < j and label[i] != label[j] and small >= similarity * large and (a == b or len(a & b) >= similarity * len(a | b)):
+                new, old = sorted((label[i], label[j]))
+                label = {k: new if x == old else x for k, x in label.items()}
+    return label
+
+
+def test_similar_texts_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(7)
+    docs, vocabulary = [], [f"w{k}" for k in range(5000)]
+    for k in range(40):
+        words = rng.choice(vocabulary, int(rng.integers(30, 400))).tolist()
+        docs.append((k, " ".join(words)))
+        for c, part in enumerate((0.01, 0.02, 0.05)):  # up to five shingles change with a word
+            new = [w if rng.random() > part else "new" for w in words]
+            docs.append((1000 * (c + 1) + k, " ".join(new)))
+    docs += [(9000, None), (9001, ""), (9002, " \n"), (9003, "one two"), (9004, "One  TWO"), (9005, "one three")]
+    got = simhash.similar(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    want = plain_similar(docs)
+    assert {r.row_id: r.component for r in got} == want and len(got) == len(docs)
+    bits = {i: simhash.fingerprint(t) for i, t in docs}
+    assert sum((bits[i] ^ bits[k]).bit_count() > 4 for i, k in want.items()) > 20  # the radius of op2 misses them
+
+
+def test_a_group_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_TEXTS", 8)
+    base = [f"w{k}" for k in range(300)]
+    docs = [(k, " ".join([*base[:k], "new", *base[k + 1 :]])) for k in range(40)] + [(100, "another text of a few words"), (None, " ".join(base))]
+    got = simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.row_id: r.component for r in got} == {k: 0 for k in range(40)} | {100: 100}
+    assert simhash.similar(spark.createDataFrame(docs, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies_beyond_four_bits(spark):
+    import corpus_pipeline
+
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    want = plain_similar([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    assert {r.doc_id for r in corpus_pipeline.keep_one(spark, docs, at).collect()} == {i for i, k in want.items() if i == k}

@@ -17,6 +17,11 @@ fingerprints that differ in at most `radius` bits, all exactly:
 
 Equal fingerprints are one node, so copies are never compared.
 
+`similar` is for a similarity that few bits don't reach (at a Jaccard similarity of 0.8, fingerprints
+differ in about 10 of 64): texts that `link` joins, or that agree in one of `VIEWS` bands of `BAND` minima of their
+shingles, are candidates, and every link between candidates is confirmed by the exact Jaccard
+similarity of their shingles. Two texts at 0.8 share no band with a probability of 0.001; all else is exact.
+
 Defined results: a null text is empty; a text without words has fingerprint zero and links like any
 other; fewer words than a shingle's make one shingle of all. A row with a null id has its
 fingerprint and the smallest id of its component (null if none has one). Repeated rows each get the
@@ -42,18 +47,33 @@ SHARD_ROWS = 1024
 #: Below so many rows a shard is compared outright.
 LEAF_ROWS = 96
 SEED = 42
+#: Bands of minima that make texts candidates, and minima of each.
+VIEWS, BAND = 24, 6
+#: Texts of a group of candidates, beyond which it is cut into parts, each two of which are compared.
+PART_TEXTS = 512
 
+_FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, VIEWS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, VIEWS * BAND, np.uint64)
 
-def fingerprint(text: str | None, words_each: int = 4) -> int:
+
+def shingles(text: str | None, words_each: int) -> np.ndarray:
+    """A hash for each run of `words_each` words; of none for a text without words."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z and the six white characters of ASCII only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, sizes = b" ".join(words), [len(w) + 1 for w in words]
     ends = list(accumulate(sizes))
     starts = [0, *ends[:-1]]
     k = min(words_each, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: str | None, words_each: int = 4) -> int:
+    return _print(shingles(text, words_each))
+
+
+def _print(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         block = hashes[at : at + (1 << 15)]
@@ -216,5 +236,108 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(labelled, F.col("fp") == F.col("own")).select("row_id", "fp", "component")
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A number for each view, equal where the minima of its band are."""
+    least = np.full(VIEWS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[None, at : at + 512] * _FACTORS[:, None] + _SHIFTS[:, None]).min(axis=1), out=least)
+    mixed = _common.mix64(least).reshape(VIEWS, BAND) * _FACTORS[:BAND]
+    return _common.mix64(mixed.sum(axis=1, dtype=np.uint64) + _SHIFTS[:VIEWS])
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what pairs of that exact Jaccard similarity join; each set sorted, without repeats."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    label, found = np.arange(len(sets)), []
+    for i, own in enumerate(sets):
+        # Pairs that other links join already needn't be compared, so that a dense group is one pass.
+        rest = np.flatnonzero((label != label[i]) & (np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own)) - 1e-9))
+        rest = rest[rest > i]
+        if not len(rest):
+            continue
+        if len(own):
+            theirs = flat[_common.ragged(starts[rest], sizes[rest])]
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[rest]) - sizes[rest])
+            rest = rest[both >= similarity * (len(own) + sizes[rest] - both) - 1e-9]
+        found += [(i, int(j)) for j in rest]
+        label[np.isin(label, label[rest])] = label[i]
+    return found
+
+
+def confirmed(texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the texts (node, component, text) of each group of candidates."""
+    large = texts.groupBy("component").count().where(F.col("count") > PART_TEXTS).select("component", F.ceil(F.col("count") / PART_TEXTS).cast("int").alias("parts"))
+    rows = texts.join(large, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.where("parts = 1 or own <> other").select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "text")
+    keys = ["component", "a", "b"]
+    dealt = rows.repartition(_common.parallelism(texts.sparkSession), *keys).sortWithinPartitions(*keys)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: tuple | None = None
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = alike(sets, similarity) if len(sets) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for part in _common.slices([batch], "text"):
+                for component, a, b, node, text in zip(*(part.column(k).to_pylist() for k in (*keys, "node", "text")), strict=True):
+                    if shard != (component, a, b):
+                        yield from out()
+                        shard, nodes, sets = (component, a, b), [], []
+                    nodes.append(node)
+                    sets.append(np.unique(shingles(text, words_each)))
+        yield from out()
+
+    return dealt.mapInArrow(pairs, "a long, b long")
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_each: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """(row_id, component) of every row with an id; texts without words are alike."""
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("row_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _common.slices(batches, "text"):
+            fps, views = [], []
+            for t in batch.column("text").to_pylist():
+                hashes = shingles(t, words_each)
+                fps.append(_print(hashes))
+                views.append(bands(hashes))
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * VIEWS), pa.array(np.concatenate(views).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("node"), pa.array(np.array(fps, np.uint64).view(np.int64)), each], names=["row_id", "node", "fp", "views"])
+
+    prints = _common.stash(rows.mapInArrow(of, "row_id long, node long, fp long, views array<long>"), "prints")
+    nodes = _common.stash(prints.groupBy("node").agg(F.min("row_id").alias("least"), F.first("fp").alias("fp"), F.first("views").alias("views")), "nodes")
+    # Candidates: each text with the first one of its band, of its fingerprint, and of those that link to it.
+    seen = nodes.select("node", F.explode("views").alias("view"))
+    first = seen.groupBy("view").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("view", "b")
+    edges = seen.join(first, "view").select(F.col("node").alias("a"), "b")
+    by_print = _common.stash(nodes.groupBy("fp").agg(F.min("node").alias("b")), "first")
+    edges = edges.union(nodes.join(by_print, "fp").select(F.col("node").alias("a"), "b"))
+    joined = link(by_print.select("fp"), radius).select(F.col("node").alias("fp"), "component")
+    roots = by_print.select(F.col("fp").alias("component"), F.col("b").alias("a"))
+    edges = edges.union(joined.join(by_print, "fp").join(roots, "component").select("a", "b"))
+    groups = _members(_graph.components(edges))
+    texts = _common.stash(rows.select("node", "text").join(groups, "node").groupBy("node", "component").agg(F.first("text").alias("text")), "candidates")
+    members = _members(_graph.components(confirmed(texts, words_each, similarity)))
+    named = members.join(nodes.select("node", "least"), "node")
+    smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
+    linked = members.join(smallest, "component").select(F.col("node").alias("k"), "smallest")
+    labelled = nodes.join(linked, F.col("node") == F.col("k"), "left").select(F.col("node").alias("own"), F.coalesce("smallest", "least").alias("component"))
+    labelled = _common.stash(labelled, "labelled")
+    return prints.select("row_id", "node").join(labelled, F.col("node") == F.col("own")).select("row_id", "component")
+
+
+def _members(joined: DataFrame) -> DataFrame:
+    """(node, component) with each component's smallest node too."""
+    return joined.union(joined.select(F.col("component").alias("node"), "component").distinct())
+
+
 def hexed(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
