@@ -79,3 +79,14 @@ def test_op3_on_a_whole_table(spark, at):
         for a, b in zip(olds, news, strict=True):
             assert a != b and new.setdefault(a, b) == b
     assert len(set(new.values())) == len(new) > 50
+
+
+def test_secrets_in_other_forms(spark):
+    rows = ['{"password": "hunter2024"}', '{"api_key": "0641917ea4e9feb9cda8", \'token\': \'abc def\'}', "password=CorrectHorseBattery.", "password: P@ssw0rd2024, then", "secret=abc$123456 pwd='ab'", "key: ann.1@mail.example.com"]
+    plain = ["password: required, key == value, token: 2021 was, secret: nothing", "pwd=$$$$ key=> x"]
+    got = {r.doc_id: r for r in pii.replace(frame(spark, rows + plain), KEY).collect()}
+    assert [got[i].n_entities for i in range(8)] == [1, 1, 1, 1, 2, 1, 0, 0]
+    for i, old in enumerate(("hunter2024", "0641917ea4e9feb9cda8", "CorrectHorseBattery", "P@ssw0rd2024", "abc$123456", "ann.1")):
+        assert old not in got[i].text
+    assert re.fullmatch(r'\{"password": "[a-z]{6}\d{4}"\}', got[0].text) and re.fullmatch(r"password: [A-Z]@[a-z]{3}\d[a-z]{2}\d{4}, then", got[3].text)
+    assert got[2].text.endswith(".") and [got[i].text for i in (6, 7)] == plain

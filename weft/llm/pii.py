@@ -33,10 +33,14 @@ FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Signora|гос
 ROUNDS = 40
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: A secret has a letter or digit, and is no e-mail address (which has a form of its own).
+_VALUE = r"(?=[^\s\"'<>]*[\p{L}0-9])(?![\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+\.[\p{L}\p{N}])"
+#: A secret without quotes; marks at its end belong to the sentence.
+_BARE = r"[^\s\"'<>]*[^\s\"'<>.,;:!?)\]}]"
 #: The forms of entities, the more special ones first.
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    r"(?<![\p{L}\p{N}])(?i:passwords?|passwd|pwd|secret|(?:auth|access|api|bearer|secret)?[_-]?(?:token|key))\s{0,3}[:=]\s{0,3}[\"']?(?=[A-Za-z+/_~.-]*[0-9])[A-Za-z0-9+/_~.-]{5,}[A-Za-z0-9+/_~=-]",
+    rf"(?<![\p{{L}}\p{{N}}])(?i:passwords?|passwd|pwd|secret|(?:auth|access|api|bearer|secret)?[_-]?(?:token|key))[\"']?\s{{0,3}}(?:[:=]\s{{0,3}}(?:\"{_VALUE}[^\"\s]+(?=\")|'{_VALUE}[^'\s]+(?='))|=(?![=>~])\s{{0,3}}[\"']?{_VALUE}{_BARE}|:\s{{0,3}}[\"']?{_VALUE}(?=[^\s\"'<>]*[0-9])(?=[^\s\"'<>]{{6}}){_BARE})",
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[bap]-)[A-Za-z0-9-]{20,}",
     r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -64,10 +68,10 @@ def _entity(m: Column) -> Column:
 
 def _kind(m: Column) -> Column:
     return (
-        F.when(m.contains("@"), "email")
+        F.when(m.rlike(r"^[A-Za-z_-]+[\"']?\s*[:=]"), "secret")
+        .when(m.contains("@"), "email")
         .when(m.rlike(rf"^(?:{MALE})\.?[ \xa0]"), "man")
         .when(m.rlike(rf"^(?:{FEMALE})\.?[ \xa0]"), "woman")
-        .when(m.rlike(r"^[A-Za-z_-]+\s*[:=]"), "secret")
         .when(m.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[bap]-)"), "access")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
