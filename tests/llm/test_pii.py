@@ -90,3 +90,16 @@ def test_secrets_in_other_forms(spark):
         assert old not in got[i].text
     assert re.fullmatch(r'\{"password": "[a-z]{6}\d{4}"\}', got[0].text) and re.fullmatch(r"password: [A-Z]@[a-z]{3}\d[a-z]{2}\d{4}, then", got[3].text)
     assert got[2].text.endswith(".") and [got[i].text for i in (6, 7)] == plain
+
+
+def test_short_forms_never_run_out(spark):
+    rows = [f"pwd={a}" for a in range(10)] + ["pwd=x", "+10 2000", "call +1 23 4567 x", "+354 555 1234", "+376 312 345"]
+    got = {r.doc_id: r for r in pii.replace(frame(spark, rows), KEY).collect()}
+    new = {got[i].text for i in range(10)}
+    assert len(new) == 10 and not new & set(rows)
+    assert [got[i].n_entities for i in range(10, 15)] == [1, 0, 1, 1, 1] and all(got[i].text != rows[i] for i in (10, 12, 13, 14))
+
+
+def test_short_phone_numbers_have_seven_digits_to_draw(spark):
+    found = spark.createDataFrame([("+1 23 4567",), ("+376 312 345",), ("+49 30 1234567",)], "m string").select(pii._entity(pii.F.col("m")).alias("e")).select("e.lead", "e.canon").collect()
+    assert all(len(r.canon) >= 7 for r in found)

@@ -13,7 +13,7 @@ again are joined to the documents that mention them; where there are none, there
 
 Defined results: a null text stays null and an empty one empty; texts without entities stay as they are,
 character for character. Repeated rows get equal results. All other columns pass through untouched,
-`n_chars` included.
+`n_chars` included. A phone number has seven digits at least, of which seven or more are replaced; forms of fewer would run out of surrogates.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ PATTERN = "|".join((
     rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     r"(?<![\d+-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<![\d.,-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d-])",
-    r"(?<![\p{L}\d])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
+    r"(?<![\p{L}\d])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)(?<=" + r"\d[ .()-]{0,2}" * 6 + r"\d)",
     r"(?<![\p{L}\d])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)",
     r"(?<![\p{L}\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d.-])",
     rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.?[ \xa0]\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
@@ -87,7 +87,8 @@ def _lead(m: Column, kind: Column) -> Column:
         .when(kind == "secret", F.regexp_extract(m, r"^([^:=]*[:=]\s*[\"']?)", 1))
         .when(kind == "access", F.regexp_extract(m, r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[bap]-)", 1))
         .when(kind == "iban", F.substring(m, 1, 2))
-        .when(kind == "phone", F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-]))", 1))
+        .when((kind == "phone") & m.rlike(r"^\+\d{1,3}(?=[ .(-])(?:[ .()-]{0,2}\d){7}"), F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-]))", 1))
+        .when((kind == "phone") & m.startswith("+"), "+")
         .otherwise("")
     )
 
@@ -163,7 +164,9 @@ def _surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column
         fixed = F.regexp_extract(domain, r"((?:(?<![^.])example)?\.[^.]+)$", 1)
         mail = _let(fixed, lambda fixed: _let(F.substring(domain, F.lit(1), F.length(domain) - F.length(fixed)), lambda host: email(stream, fixed, host)))
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(stream, i * 2) * 256 + _byte(stream, i * 2 + 1)) % 254 + 1), ".")
-        return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind.isin("man", "woman"), _name(canon, stream, attempt, kind == "woman")).otherwise(_likewise(canon, stream))
+        # A secret drawn again gets as many characters more, so that short ones never run out.
+        more = F.when(attempt > 0, F.substring(F.sha2(F.concat(stream, F.lit("more")), 512), F.lit(1), F.least(attempt, F.lit(ROUNDS)))).otherwise("")
+        return F.when(kind == "secret", F.concat(_likewise(canon, stream), more)).when(kind == "email", mail).when(kind == "ip", octets).when(kind.isin("man", "woman"), _name(canon, stream, attempt, kind == "woman")).otherwise(_likewise(canon, stream))
 
     return _let(_bytes(key, kind, canon, attempt.cast("string")), of)
 
