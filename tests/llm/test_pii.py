@@ -103,3 +103,11 @@ def test_short_forms_never_run_out(spark):
 def test_short_phone_numbers_have_seven_digits_to_draw(spark):
     found = spark.createDataFrame([("+1 23 4567",), ("+376 312 345",), ("+49 30 1234567",)], "m string").select(pii._entity(pii.F.col("m")).alias("e")).select("e.lead", "e.canon").collect()
     assert all(len(r.canon) >= 7 for r in found)
+
+
+def test_one_phone_number_in_all_layouts(spark):
+    rows = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "(555) 123-4567", "+49 30 1234567", "+49301234567", "+49-30-123-4567", "+354 555 1234", "+3545551234", "+376 312 345", "+376312345"]
+    got = {r.doc_id: r.text for r in pii.replace(frame(spark, rows), KEY).collect()}
+    digits = [re.sub("[^0-9]", "", got[i]) for i in range(len(rows))]
+    assert digits[0] == digits[1] == digits[2] == "1" + digits[3] and digits[4] == digits[5] == digits[6] and digits[7] == digits[8] and digits[9] == digits[10]
+    assert got[0].startswith("+1 ") and got[1].startswith("+1") and got[5].startswith("+49") and got[8].startswith("+354") and all(got[i] != rows[i] for i in range(len(rows)))

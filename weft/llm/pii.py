@@ -13,7 +13,8 @@ again are joined to the documents that mention them; where there are none, there
 
 Defined results: a null text stays null and an empty one empty; texts without entities stay as they are,
 character for character. Repeated rows get equal results. All other columns pass through untouched,
-`n_chars` included. A phone number has seven digits at least, of which seven or more are replaced; forms of fewer would run out of surrogates.
+`n_chars` included. A phone number has seven digits at least. Its country code stays where seven
+or more follow, in every layout; else the code is replaced too, as fewer digits would run out of surrogates.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _VALUE = r"(?=[^\s\"'<>]*[\p{L}0-9])(?![\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+\.[\p{L}\p{N}])"
 #: A secret without quotes; marks at its end belong to the sentence.
 _BARE = r"[^\s\"'<>]*[^\s\"'<>.,;:!?)\]}]"
+#: A country code (as ITU E.164 assigns them) before seven digits or more, whatever stands between.
+_NATIONAL = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?!1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])\d{3}))(?=(?:[ .()-]{0,2}\d){7})"
 #: The forms of entities, the more special ones first.
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -87,7 +90,7 @@ def _lead(m: Column, kind: Column) -> Column:
         .when(kind == "secret", F.regexp_extract(m, r"^([^:=]*[:=]\s*[\"']?)", 1))
         .when(kind == "access", F.regexp_extract(m, r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[bap]-)", 1))
         .when(kind == "iban", F.substring(m, 1, 2))
-        .when((kind == "phone") & m.rlike(r"^\+\d{1,3}(?=[ .(-])(?:[ .()-]{0,2}\d){7}"), F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-]))", 1))
+        .when((kind == "phone") & m.rlike(_NATIONAL), F.regexp_extract(m, _NATIONAL, 1))
         .when((kind == "phone") & m.startswith("+"), "+")
         .otherwise("")
     )
