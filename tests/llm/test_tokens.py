@@ -96,3 +96,13 @@ def test_places_are_undone(n, top):
     place[order] = np.arange(len(order))
     places = place[index]
     assert bpe.unsqueeze_places(bpe.squeeze_places(places, int((times > 1).sum()))).tolist() == places.tolist()
+
+
+@pytest.mark.parametrize("kind, name", [("byte", "byte_bpe_50k.json"), ("plain", "word_bpe_49k.json")])
+def test_added_tokens_are_those_of_an_unaltered_library(kind, name):
+    from tokenizers import Tokenizer
+
+    plain, tool = Tokenizer.from_str(queries.vocabulary(name)), tokens.library(queries.vocabulary(name), kind)
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a", "<|ENDOFTEXT|> x", "no token", "<|endoftext|>", "日本 <|endoftext|>"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in tool.ids_of(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -1,7 +1,8 @@
 """Words and ids of public tokenizers, with each distinct word encoded once a worker.
 
 Where texts are Latin-1, the pre-tokenizer's words are cut in arrays of characters (whose classes are
-written out in full below); any other text goes through the library whole. Words go through the library's merges once
+written out in full below); any other text, and one with an added token's string such as <|endoftext|>
+(which is that token's id, as in the library's plain call), goes through the library whole. Words go through the library's merges once
 and are remembered in a cache of bounded size.
 """
 
@@ -122,7 +123,9 @@ class Library:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tool = Tokenizer.from_str(source)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Texts that hold an added token's string, in whatever case, go through the library whole.
+        added = [re.escape(t.content) for t in self.tool.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.kind, self.dtype = kind, dtype
         self.model, self.words = self.tool.model, {}
         self.code = {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
@@ -148,7 +151,7 @@ class Library:
         return out
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        raw = [latin1(t) for t in texts]
+        raw = [None if self.added.search(t) else latin1(t) for t in texts]
         found = words([x.translate(_LOWER) if self.kind == "plain" else x for x in raw if x is not None], self.kind == "byte")
         each = self._of_words(found.distinct)
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.dtype).itemsize
