@@ -1,11 +1,11 @@
-"""Repeated passages cut by a sparse suffix array.
+"""Repeated passages cut by minimiser-seeded hashing of windows, in place of a sparse suffix array.
 
 Words are runs of bytes other than ASCII white space. A suffix is retained where a minimiser stands: of the
 `STEP` suffixes that could begin a seed within a passage of `PASSAGE_WORDS` words, the one whose first `SEED_WORDS` words hash lowest.
 That choice depends on the passage's words alone, so two equal passages retain the same suffix, and no other
-suffixes need sorting. Retained suffixes are put in order of the hash of their first words; where
-neighbours agree across the corpus, the match is extended to the left and to the right, word by word, to every passage of
-`PASSAGE_WORDS` words around it. Of equal passages the first stays, by (smallest id of the text, text, place), and
+suffixes need a look. Retained suffixes are not sorted but grouped by the hash of their first words; where
+a seed is shared across the corpus, every window of `PASSAGE_WORDS` words around it is grouped by its own
+hash. Of equal passages the first stays, by (smallest id of the text, text, place), and
 every word that lies in a later one is cut.
 
 Equal whole texts of `PASSAGE_WORDS` words or more are one text; that of the smallest id stays, the others
