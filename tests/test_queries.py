@@ -41,3 +41,13 @@ def test_query_equals_sql(spark, con, name):
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_incremental_rebuild_takes_all_days(spark, monkeypatch):
+    from weft.plans import queries
+
+    assert [queries.each_of(*x) for x in ((2, 2), (3, 2), (0, 2), (30, 29))] == [1, 3, 0, 30]
+    sizes, each_of = [], queries.each_of
+    monkeypatch.setattr(queries, "each_of", lambda made, days: sizes.append((made, days)) or each_of(made, days))
+    assert [tuple(r) for r in plans.QUERIES["incremental_rebuild"](spark, AT).collect()] == [("first build", 1), ("again", 0), ("changed", 1), ("changed back", 0), ("new day", 1)]
+    assert sizes == [(29, 29), (0, 1), (1, 1), (0, 1), (1, 1)]  # 30 days in all
