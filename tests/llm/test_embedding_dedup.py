@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weft.llm import embedding_dedup, queries
@@ -71,9 +72,34 @@ def test_op7_on_a_whole_table(spark):
 
 
 def test_recall_on_near_copies(spark):
-    t = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").where("label = 1").select("vec_id", "embedding", "label")
-    rows = [tuple(r) for r in t.collect()]
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 64))
+    x[:1100] = x[0] + rng.standard_normal((1100, 64)) * rng.choice([0.02, 0.1, 0.25], (1100, 1))
+    x[1100:1300] = x[1300:1500] + rng.standard_normal((200, 64)) * 0.2
+    rows = [(k, [float(np.float32(a)) for a in v], 1) for k, v in enumerate(x)]
+    t = frame(spark, rows)
     got = {r.row_id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(t).collect()}
     want = plain(rows)
     assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
     assert sum(n for n, _ in got.values()) >= 0.999 * sum(n for n, _ in want.values())
+
+
+def test_most_pairs_are_not_compared(spark, monkeypatch):
+    """Windows are bounded: of unrelated vectors, only neighbours in the sorted order meet."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 32))
+    x[::10] = x[5::10] + 0.1 * rng.standard_normal((300, 32))
+    rows = [(k, [float(np.float32(a)) for a in v], 1) for k, v in enumerate(x)]
+    classes = frame(spark, rows).selectExpr("vec_id as uid", "cast(label as string) as label", "embedding", "256 as bytes")
+    as_bytes = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(v, float).tobytes() for v in b.column(2).to_pylist()], pa.binary()), b.column(3)], names=["uid", "label", "vector", "bytes"]) for b in batches)
+    classes = classes.mapInArrow(as_bytes, "uid long, label string, vector binary, bytes int")
+    bits, n = embedding_dedup.passes(3000, 0.93)
+    assert bits > 0 and n > 1
+    ranked = embedding_dedup.in_order(classes, bits, n, 3000).toPandas()
+    assert sorted(ranked["rank"]) == list(range(3000 * n))
+    for _, one in ranked.groupby("turn"):
+        assert one["rank"].max() - one["rank"].min() == 2999
+        assert (one["far"] - one["back"] + 1).sum() < 0.1 * 3000**2
+    met = embedding_dedup.neighbours(embedding_dedup.in_order(classes, bits, n, 3000), 3000, n, 0.93).collect()
+    assert {r.uid for r in met} >= {k for k in range(3000) if k % 10 in (0, 5)}
+    assert len({r.uid for r in met}) < 1500

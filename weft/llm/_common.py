@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+#: Bytes that a partition dealt by a fixed number gets at most, unless one key has more.
+PARTITION_BYTES = 64 << 20
 
 _kept: set[str] = set()
 _shipped: set[str] = set()
@@ -50,10 +53,17 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions(spark: SparkSession, size: int) -> int:
+    """How many partitions to deal `size` bytes to: as many as the session shuffles to, and more where one would get over `PARTITION_BYTES`."""
+    return max(parallelism(spark), -(-size // PARTITION_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set, which only a local master can use."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         found = tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
