@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,46 @@ def check(rows, want, least=0.9):
     return hit / max(1, sum(map(len, want.values())))
 
 
+def share(x, ids, asked, k=20):
+    """(recall, share of the pairs that were verified) of a search of one part."""
+    longest = float(np.linalg.norm(x, axis=1).max())
+    i, j, _, verified = ann.search(ids, x, longest, ids[asked], x[asked], np.full(len(asked), -np.inf), k)
+    want = plain(ids, x, asked, k)
+    hit = sum(len({v for v, _ in want[int(ids[a])]} & set(ids[j[i == n]].tolist())) for n, a in enumerate(asked))
+    return hit / (k * len(asked)), verified / (len(asked) * len(x))
+
+
+def test_the_stop_leaves_most_candidates_unverified():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 64))
+    x = centres[rng.integers(0, 60, 6000)] + 0.5 * rng.standard_normal((6000, 64))
+    recall, seen = share(x, rng.permutation(6000), np.arange(0, 6000, 100))
+    assert recall >= 0.9 and seen < 0.1
+
+
+def test_the_stop_on_a_table_without_clusters():
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = t.column("vec_id").to_numpy(), np.array(t.column("embedding").to_pylist(), float)
+    recall, seen = share(x, ids, np.flatnonzero(ids % 20 == 0))
+    assert recall >= 0.9 and seen < 0.55
+
+
+def test_cells_far_away_are_not_visited():
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 64)) * 2
+    x = centres[rng.integers(0, 40, 60000)] + 0.3 * rng.standard_normal((60000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    longest = float(np.linalg.norm(x, axis=1).max())
+    p = ann.lifted(x, longest)
+    cells, asked = ann.Cells(p[:16384], len(x)), np.arange(0, 60000, 1500)
+    scores = np.sort(x[asked] @ x.T, axis=1)[:, -21]
+    near = np.einsum("ij,ij->i", x[asked], x[asked]) + longest**2 - 2 * scores
+    of = cells.of(p)
+    low, high = (np.array([f(p[of == c], axis=0) for c in range(len(cells.cell))]) for f in (np.min, np.max))
+    seen = ann.far(ann.flat(x[asked]), low, high) <= (ann.chi_square_quantile(ann.CONFIDENCE, ann.DIMENSIONS) * near)[:, None]
+    assert len(cells.cell) > 8 and seen.mean() < 0.3
+
+
 @pytest.mark.parametrize("at", ["sf0.01", "sf0.1"])
 def test_op6_recall_on_whole_tables(spark, at):
     t = spark.read.parquet(f"/root/testdata/{at}/embeddings.parquet").select("vec_id", "embedding").collect()

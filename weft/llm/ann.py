@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by stable projections in a kd-tree, with a chi-square stop.
 
 Largest inner product is made nearest distance: every candidate gets one more coordinate that lifts it to
-the length of the longest, queries get a zero there; then |q - x|^2 = |q|^2 + M^2 - 2 q.x. Vectors are
-projected to `DIMENSIONS` coordinates by normal (2-stable) random directions, in which squared distances are the
-true ones times a chi-square variable. A kd-tree over the projections gives candidates in the order of
-projected distance, a leaf at a time, and each is verified by its true inner product. The search stops
-when the next leaf's projected distance r and the k-th best true distance d satisfy r^2 > q * d^2, where q
-is the `CONFIDENCE` quantile of chi-square with `DIMENSIONS` degrees of freedom: a candidate that
-is nearer than d would have shown up before with that probability.
+the length M of the longest in its range of lengths (each a factor of 2^0.25 wide), queries get a zero there; then |q - x|^2 = |q|^2 + M^2 - 2 q.x.
+Vectors are projected to `DIMENSIONS` coordinates by normal (2-stable) random directions, made orthogonal where
+the width allows, in which squared distances are the true ones times a chi-square variable of that many degrees of
+freedom, or one that varies less. A kd-tree over the projections gives the leaves that a
+query can't rule out; their rows are candidates in the order of projected distance, and are verified by their true
+inner product in growing steps. The search stops when the next candidate's projected distance r and the k-th
+best true distance d satisfy r^2 > c * d^2, where c is the `CONFIDENCE` quantile of chi-square: a
+candidate that is nearer than d would have shown up before with that probability. What the stop cuts off
+is never compared on the vectors.
 
 The upper levels of the tree are fitted on a sample of at most `SAMPLE_ROWS` rows and make cells; every row
-is indexed in its cell, and a cell with more than `CELL_ROWS` rows is cut into parts by a hash, each with
-a tree of its own. A query first searches its own cell, and then every other cell that its
+is indexed in its cell and range of lengths, and a cell with more than `CELL_ROWS` rows is cut into parts by a hash,
+each with a tree of its own. A query first searches the cell that it would be indexed in, and then every other cell that its
 k-th best distance does not rule out by the same test. Queries come to a part in blocks of at most about
 `BLOCK_ROWS`, so a task holds a bounded number of both.
 
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from weft.llm import _common, _vectors
 
-DIMENSIONS = 8
-CONFIDENCE = 0.97
+DIMENSIONS = 24
+CONFIDENCE = 0.9
 CELL_ROWS = 8192
 LEAF_ROWS = 64
 BLOCK_ROWS = 4096
@@ -63,12 +65,22 @@ def chi_square_quantile(p: float, freedom: int) -> float:
 
 
 def directions(width: int) -> np.ndarray:
-    return np.random.default_rng(SEED + width).standard_normal((width + 1, DIMENSIONS))
+    """A direction in each column; those of a group of width + 1 are orthogonal to each other."""
+    rng, parts = np.random.default_rng(SEED + width), []
+    for at in range(0, DIMENSIONS, width + 1):
+        q, r = np.linalg.qr(rng.standard_normal((width + 1, min(width + 1, DIMENSIONS - at))))
+        parts.append(q * np.sign(np.diag(r)) * math.sqrt(width + 1))
+    return np.hstack(parts)
 
 
-def lifted(x: np.ndarray, longest: float) -> np.ndarray:
-    """Projections of candidates, with the coordinate that makes all as long as the longest."""
-    more = np.sqrt(np.maximum(0, longest**2 - np.einsum("ij,ij->i", x, x)))
+def ranges(x: np.ndarray) -> np.ndarray:
+    """The range of each row's length."""
+    return np.floor(4 * np.log2(np.linalg.norm(x, axis=1)) + 0.5).astype(np.int32)
+
+
+def lifted(x: np.ndarray, longest: np.ndarray | float) -> np.ndarray:
+    """Projections of candidates, with the coordinate that makes each as long as the longest of its range."""
+    more = np.sqrt(np.maximum(0, np.square(longest) - np.einsum("ij,ij->i", x, x)))
     return np.column_stack((x, more)) @ directions(x.shape[1])
 
 
@@ -78,30 +90,24 @@ def flat(x: np.ndarray) -> np.ndarray:
 
 
 class Cells:
-    """Boxes of a kd-tree's upper levels."""
+    """A kd-tree's upper levels."""
 
     def __init__(self, sample: np.ndarray, n: int) -> None:
         depth = max(0, math.ceil(math.log2(max(1, n / (CELL_ROWS / 2)))))
         depth = min(depth, int(math.log2(max(1, len(sample) / 4)))) if len(sample) else 0
-        self.low, self.high, self.cut = [], [], {}
-        todo = [(1, np.arange(len(sample)), np.full(DIMENSIONS, -np.inf), np.full(DIMENSIONS, np.inf), depth)]
-        self.cell = {}
+        self.cell, self.cut = {}, {}
+        todo = [(1, np.arange(len(sample)), depth)]
         while todo:
-            node, own, low, high, levels = todo.pop()
+            node, own, levels = todo.pop()
             if levels and len(own) > 1:
                 axis = int(np.argmax(np.ptp(sample[own], axis=0)))
                 at = float(np.median(sample[own, axis]))
                 left = sample[own, axis] <= at
                 if left.any() and not left.all():
                     self.cut[node] = (axis, at)
-                    less, more = high.copy(), low.copy()
-                    less[axis] = more[axis] = at
-                    todo += [(2 * node, own[left], low, less, levels - 1), (2 * node + 1, own[~left], more, high, levels - 1)]
+                    todo += [(2 * node, own[left], levels - 1), (2 * node + 1, own[~left], levels - 1)]
                     continue
-            self.cell[node] = len(self.low)
-            self.low.append(low)
-            self.high.append(high)
-        self.low, self.high = np.array(self.low), np.array(self.high)
+            self.cell[node] = len(self.cell)
 
     def of(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x), np.int32)
@@ -116,13 +122,14 @@ class Cells:
                 out[own] = self.cell[node]
         return out
 
-    def far(self, x: np.ndarray) -> np.ndarray:
-        """Squared projected distances from queries to cells."""
-        out = np.zeros((len(x), len(self.low)))
-        for axis in range(DIMENSIONS):
-            gap = np.maximum(np.maximum(self.low[None, :, axis] - x[:, axis, None], x[:, axis, None] - self.high[None, :, axis]), 0)
-            out += gap * gap
-        return out
+
+def far(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared projected distances from queries to boxes."""
+    out = np.zeros((len(x), len(low)))
+    for axis in range(DIMENSIONS):
+        gap = np.maximum(np.maximum(low[None, :, axis] - x[:, axis, None], x[:, axis, None] - high[None, :, axis]), 0)
+        out += gap * gap
+    return out
 
 
 def leaves(p: np.ndarray) -> list[np.ndarray]:
@@ -140,56 +147,67 @@ def leaves(p: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search(ids: np.ndarray, x: np.ndarray, longest: float, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Verified candidates (query, row, score) of a part's rows x; bound: a score that each query has k candidates for elsewhere."""
+def search(ids: np.ndarray, x: np.ndarray, longest: float, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Verified neighbours (query, row, score) among a part's rows x, all of one range of lengths, and how many pairs were verified.
+
+    bound: a score that each query has k candidates for elsewhere.
+    """
     p, quantile = lifted(x, longest), chi_square_quantile(CONFIDENCE, DIMENSIONS)
     groups = leaves(p)
     low, high = (np.array([f(p[g], axis=0) for g in groups]) for f in (np.min, np.max))
-    qp, lengths = flat(q), np.einsum("ij,ij->i", q, q) + longest**2
-    far = np.zeros((len(q), len(groups)))
-    for axis in range(DIMENSIONS):
-        gap = np.maximum(np.maximum(low[None, :, axis] - qp[:, axis, None], qp[:, axis, None] - high[None, :, axis]), 0)
-        far += gap * gap
-    order = np.argsort(far, axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(len(groups))[None, :], axis=1)
-    best = np.full((len(q), k), -np.inf)
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    active, at, step = np.arange(len(q)), 0, 4
-    while len(active) and at < len(groups):
-        to = min(len(groups), at + step)
-        for g, rows in enumerate(groups):
-            who = active[(rank[active, g] >= at) & (rank[active, g] < to)]
-            if not len(who):
-                continue
-            scores = q[who] @ x[rows].T
-            scores[query_ids[who][:, None] == ids[rows][None, :]] = -np.inf
-            floor = np.maximum(bound[who], best[who, 0])
-            i, j = np.nonzero(scores >= (floor - 1e-9 * np.abs(floor))[:, None])
-            if not len(i):
+    rows_of, sizes = np.concatenate(groups), np.fromiter(map(len, groups), np.int64, len(groups))
+    ids, x, p, squares = ids[rows_of], x[rows_of], p[rows_of], np.einsum("ij,ij->i", p[rows_of], p[rows_of])
+    lengths = np.einsum("ij,ij->i", q, q) + longest**2
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    verified, first = 0, max(4 * k, 64)
+    for at in range(0, len(q), 128):
+        qp = flat(q[at : at + 128])
+        apart = far(qp, low, high)
+        near = np.einsum("ij,ij->i", qp, qp)[:, None] + squares[None, :] - 2 * (qp @ p.T)
+        for i in range(at, at + len(qp)):
+            r, leaf = near[i - at], np.repeat(apart[i - at], sizes)
+            own = query_ids[i]
+            scores = np.full(k, -np.inf)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def reach(floor: float, i: int = i) -> float:
+                return quantile * max(lengths[i] - 2 * floor, 0) * (1 + 1e-9) if floor > -np.inf else np.inf
+
+            limit = reach(bound[i])
+            todo = np.flatnonzero((leaf <= limit) & (r <= limit))
+            nearest = todo if len(todo) <= first else todo[np.argpartition(r[todo], first - 1)[:first]]
+            step, done = nearest, nearest
+            while len(step):
+                at_hand = step[ids[step] != own]
+                verified += len(at_hand)
+                about, floor = x[at_hand] @ q[i], max(bound[i], float(scores.min()))
+                at_hand = at_hand[about >= floor - 1e-9 * abs(floor)]
+                # The same sum for equal vectors, wherever they stand.
+                exact = (q[i] * x[at_hand]).sum(axis=1)
+                found.append((at_hand, exact))
+                both = np.concatenate((scores, exact))
+                scores = np.partition(both, len(both) - k)[-k:]
+                limit = reach(max(bound[i], float(scores.min())))
+                if done is nearest and len(nearest) < len(todo):  # the rest in order, as far as the first ones leave it
+                    left = (r <= limit) & (leaf <= limit)
+                    left[nearest] = False
+                    rest = np.flatnonzero(left)
+                    todo, done, size = rest[np.argsort(r[rest], kind="stable")], 0, 2 * first
+                elif done is nearest:
+                    break
+                step = todo[done : done + size]
+                step = step[r[step] <= limit]
+                done, size = done + size, 2 * size
+            if not found:
                 continue
-            i, j = i[ok := np.isfinite(scores[i, j])], j[ok]
-            # The same sum for equal vectors, wherever they stand.
-            exact = (q[who[i]] * x[rows[j]]).sum(axis=1)
-            kept.append((who[i], rows[j], exact))
-            top = np.full((len(who), len(rows)), -np.inf)
-            top[i, j] = exact
-            both = np.concatenate((best[who], top), axis=1)
-            best[who] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
-        at, step = to, step * 2
-        if at < len(groups):
-            near = lengths - 2 * np.maximum(best[:, 0], bound)
-            active = active[far[active, order[active, at]] <= quantile * np.maximum(near[active], 0)]
-    if not kept:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    i, j, s = (np.concatenate(z) for z in zip(*kept, strict=True))
-    good = s >= np.maximum(bound, best[:, 0])[i]
-    i, j, s = i[good], j[good], s[good]
-    ordered = np.lexsort((ids[j], -s, i))
-    i, j, s = i[ordered], j[ordered], s[ordered]
-    first = np.searchsorted(i, i)
-    top = np.arange(len(i)) - first < k
-    return i[top], j[top], s[top]
+            rows, exact = (np.concatenate(z) for z in zip(*found, strict=True))
+            good = exact >= max(bound[i], float(scores.min()))
+            rows, exact = rows[good], exact[good]
+            top = np.lexsort((ids[rows], -exact))[:k]
+            out.append((np.full(len(top), i), rows_of[rows[top]], exact[top]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), verified
+    return (*(np.concatenate(z) for z in zip(*out, strict=True)), verified)
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -199,30 +217,47 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str =
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_vectors.doubles(batch.column("vector")))
-            norms = [None if x is None else float(np.sqrt((x * x).sum())) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([None if x is None else x.tobytes() for x in found], pa.binary()), pa.array([None if x is None else len(x) for x in found], pa.int32()), pa.array(norms, pa.float64())], names=["row_id", "vector", "width", "norm"])
+            norms = [None if x is None else float(np.linalg.norm(x)) for x in found]
+            of = [None if x is None else int(ranges(x[None, :])[0]) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([None if x is None else x.tobytes() for x in found], pa.binary()), pa.array([None if x is None else len(x) for x in found], pa.int32()), pa.array(norms, pa.float64()), pa.array(of, pa.int32())], names=["row_id", "vector", "width", "norm", "range"])
 
     rows = vectors.select(F.col(vec_id).cast("long").alias("row_id"), F.col(embedding).alias("vector")).where("row_id is not null")
-    rows = _common.stash(rows.mapInArrow(read, "row_id long, vector binary, width int, norm double").where("vector is not null"), "ann")
-    shape = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).orderBy(F.desc("n"), "width").head()
+    rows = _common.stash(rows.mapInArrow(read, "row_id long, vector binary, width int, norm double, range int").where("vector is not null"), "ann")
+    shape = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").head()
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n, longest = shape.width, shape.n, shape.longest
-    rows = rows.where(F.col("width") == width).select("row_id", "vector")
-    sample = [r.vector for r in rows.where(F.pmod(F.xxhash64("row_id"), F.lit(max(1, n * 2 // SAMPLE_ROWS))) == 0).limit(SAMPLE_ROWS).collect()]
-    cells = Cells(lifted(np.frombuffer(b"".join(sample), np.float64).reshape(-1, width), longest), n)
+    width, n = shape.width, shape.n
+    rows = rows.where(F.col("width") == width).select("row_id", "vector", "norm", "range")
+    # A row for each range, of which the exponents of numbers bound the number.
+    longest = {r.range: r.longest for r in rows.groupBy("range").agg(F.max("norm").alias("longest")).collect()}
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def project(batch: pa.RecordBatch) -> np.ndarray:
+        return lifted(_vectors.stacked(batch.column("vector"), width), np.array([longest[r] for r in batch.column("range").to_pylist()]))
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = cells.of(lifted(_vectors.stacked(batch.column("vector"), width), longest))
-            yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns], names=["cell", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in project(batch)], pa.binary())], names=["p"])
 
-    placed = _common.stash(rows.mapInArrow(place, "cell int, row_id long, vector binary"), "cells")
-    # A row for each cell, of which the sample bounds the number.
-    parts = np.ones(len(cells.low), np.int64)
-    for r in placed.groupBy("cell").count().collect():
-        parts[r.cell] = -(-r["count"] // CELL_ROWS)
-    queries = placed.where(is_query).select("cell", "row_id", "vector").dropDuplicates(["row_id"])
+    share = rows.where(F.pmod(F.xxhash64("row_id"), F.lit(max(1, n * 2 // SAMPLE_ROWS))) == 0)
+    sample = [r.p for r in share.mapInArrow(projected, "p binary").limit(SAMPLE_ROWS).collect()]
+    cells = Cells(np.frombuffer(b"".join(sample), np.float64).reshape(-1, DIMENSIONS), n)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = project(batch)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * DIMENSIONS), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.of(p)), *(batch.column(c) for c in ("range", "row_id", "vector")), each], names=["cell", "range", "row_id", "vector", "p"])
+
+    indexed = _common.stash(rows.mapInArrow(place, "cell int, range int, row_id long, vector binary, p array<double>"), "cells")
+    placed = indexed.drop("p")
+    # A row for each cell and range with the box of its rows; the sample bounds the cells.
+    boxes = (F.array(*(f(F.col("p")[axis]) for axis in range(DIMENSIONS))).alias(name) for f, name in ((F.min, "low"), (F.max, "high")))
+    sizes = indexed.groupBy("cell", "range").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts"), *boxes).collect()
+    low, high = (np.array([r[c] for r in sizes], np.float64) for c in ("low", "high"))
+    tops = np.array([longest[r.range] for r in sizes])
+    of_cell, of_range, parts = (np.array([r[c] for r in sizes], np.int64) for c in ("cell", "range", "parts"))
+    counted = spark.createDataFrame([(r.cell, r.range, r.parts) for r in sizes], "cell int, range int, parts int")
+    queries = placed.where(is_query).select("cell", "range", "row_id", "vector").dropDuplicates(["row_id"])
 
     def visits(asked: DataFrame, first: bool) -> DataFrame:
         quantile = chi_square_quantile(CONFIDENCE, DIMENSIONS)
@@ -231,29 +266,28 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str =
             for whole in batches:
                 for at in range(0, whole.num_rows, 1024):
                     batch = whole.slice(at, 1024)
-                    home, bound = batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
+                    home, own, bound = (batch.column(c).to_numpy() for c in ("cell", "range", "bound"))
+                    at_home = (home[:, None] == of_cell[None, :]) & (own[:, None] == of_range[None, :])
                     if first:
-                        who, where = np.arange(batch.num_rows), home
+                        who, where = np.nonzero(at_home)
                     else:
                         x = _vectors.stacked(batch.column("vector"), width)
-                        near = np.einsum("ij,ij->i", x, x) + longest**2 - 2 * bound
-                        seen = cells.far(flat(x)) <= quantile * np.maximum(near, 0)[:, None]
-                        seen[np.arange(len(home)), home] = False
-                        who, where = np.nonzero(seen)
+                        near = np.einsum("ij,ij->i", x, x)[:, None] + np.square(tops)[None, :] - 2 * bound[:, None]
+                        who, where = np.nonzero((far(flat(x), low, high) <= quantile * np.maximum(near, 0) * (1 + 1e-9)) & ~at_home)
                     times = parts[where]
                     who, where, part = np.repeat(who, times), np.repeat(where, times), _common.ragged(np.zeros(len(times), np.int64), times)
                     index = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column("row_id").take(index), batch.column("vector").take(index), batch.column("bound").take(index)], names=["cell", "part", "row_id", "vector", "bound"])
+                    yield pa.RecordBatch.from_arrays([pa.array(of_cell[where].astype(np.int32)), pa.array(of_range[where].astype(np.int32)), pa.array(part.astype(np.int32)), batch.column("row_id").take(index), batch.column("vector").take(index), batch.column("bound").take(index)], names=["cell", "range", "part", "row_id", "vector", "bound"])
 
-        return asked.select("cell", "row_id", "vector", "bound").mapInArrow(go, "cell int, part int, row_id long, vector binary, bound double")
+        return asked.select("cell", "range", "row_id", "vector", "bound").mapInArrow(go, "cell int, range int, part int, row_id long, vector binary, bound double")
 
     def run(asked: DataFrame, first: bool) -> DataFrame:
         going = _common.stash(visits(asked, first), "visits")
-        crowd = going.groupBy("cell", "part").count().select("cell", "part", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-        limit = F.array(*(F.lit(int(p)) for p in parts))
-        candidates = placed.withColumn("part", F.pmod(F.xxhash64("row_id"), limit[F.col("cell")]).cast("int"))
-        candidates = candidates.join(crowd, ["cell", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        going = going.join(crowd, ["cell", "part"]).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+        where = ["cell", "range", "part"]
+        crowd = going.groupBy(*where).count().select(*where, F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
+        candidates = placed.join(F.broadcast(counted), ["cell", "range"]).withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int"))
+        candidates = candidates.join(crowd, where).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        going = going.join(crowd, where).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
 
         def meet(key: tuple, own: pa.Table, asking: pa.Table) -> pa.Table:
             own, asking = own.combine_chunks(), asking.combine_chunks()
@@ -262,20 +296,19 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str =
                 return pa.table(empty)
             ids, query_ids = own.column("row_id").to_numpy(), asking.column("row_id").to_numpy()
             x, q = (_vectors.stacked(t.column("vector"), width) for t in (own, asking))
-            out = [search(ids, x, longest, query_ids[at : at + 1024], q[at : at + 1024], asking.column("bound").to_numpy()[at : at + 1024], k) for at in range(0, len(q), 1024)]
-            i = np.concatenate([o[0] + 1024 * t for t, o in enumerate(out)])
-            j, s = (np.concatenate([o[c] for o in out]) for c in (1, 2))
+            i, j, s, _ = search(ids, x, longest[key[1].as_py()], query_ids, q, asking.column("bound").to_numpy(), k)
             return pa.table({"query_id": query_ids[i], "vec_id": ids[j], "score": s})
 
-        keys = ["cell", "part", "block"]
+        keys = [*where, "block"]
         right = going.select(*(F.col(c).alias(f"to_{c}") for c in keys), "row_id", "vector", "bound")
         met = candidates.select(*keys, "row_id", "vector").groupBy(*keys).cogroup(right.groupBy(*(f"to_{c}" for c in keys)))
         return _common.stash(met.applyInArrow(meet, _CANDIDATES), "near")
 
     none = queries.withColumn("bound", F.lit(-math.inf))
     near = run(none, True)
-    kth = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-    bounded = queries.join(kth, F.col("row_id") == F.col("query_id"), "left").select("cell", "row_id", "vector", F.coalesce("least", F.lit(-math.inf)).alias("bound"))
+    # A cell's parts give k candidates each; the k-th best of all is what the others have to beat.
+    best = near.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") == k)
+    bounded = queries.join(best.select("query_id", F.col("score").alias("least")), F.col("row_id") == F.col("query_id"), "left").select("cell", "range", "row_id", "vector", F.coalesce("least", F.lit(-math.inf)).alias("bound"))
     found = near.union(run(bounded, False))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
