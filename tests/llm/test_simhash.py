@@ -75,6 +75,41 @@ def test_links_are_those_of_brute_force(spark, n, spread):
     assert {x: min(group) for group in want.values() for x in group} == {int(x): got.get(int(x), int(x)) for x in np.unique(fps).view(np.int64)}
 
 
+def test_the_tree_prunes(monkeypatch):
+    """Of the pairs of a shard, the triangle bounds leave a part to compare, and all links are among them."""
+    compared = []
+    plain = simhash._outright
+    monkeypatch.setattr(simhash, "_outright", lambda fp, a, b, radius: compared.append(len(a) * len(b)) or plain(fp, a, b, radius))
+    rng = np.random.default_rng(3)
+    unrelated = rng.integers(0, 1 << 63, 2000, np.uint64)
+    close = unrelated[:8].repeat(250)
+    for _ in range(8):
+        close = close ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64))
+    for fp, most in ((unrelated, 0.7), (np.unique(close), 0.35)):
+        compared.clear()
+        found = simhash._within(fp, np.arange(len(fp)), 4)
+        assert sum(compared) < most * len(fp) ** 2
+        got = {(min(i, j), max(i, j)) for a, b in found for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j}
+        i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+        assert got == {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
+
+
+@pytest.mark.parametrize("shard", [8, 60, 500])
+def test_shards_in_cells_and_parts(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard)
+    rng = np.random.default_rng(shard)
+    fps = rng.integers(0, 1 << 63, 5, np.uint64)[rng.integers(0, 5, 1500)]
+    for _ in range(6):
+        fps = fps ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) * (rng.random(1500) < 0.5).astype(np.uint64)
+    fps = np.unique(fps)
+    got = {r.node: r.component for r in simhash.link(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")).collect()}
+    label = plain_components(fps)
+    want: dict[int, list] = {}
+    for f, k in label.items():
+        want.setdefault(k, []).append(int(np.uint64(f).view(np.int64)))
+    assert {x: min(group) for group in want.values() for x in group} == {int(x): got.get(int(x), int(x)) for x in fps.view(np.int64)}
+
+
 @pytest.mark.parametrize("n", [1, 10**5, 10**7, 10**9, 10**12])
 def test_projections_leave_no_pair_out(n):
     masks = simhash.projections(n, 4)

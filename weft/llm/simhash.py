@@ -3,16 +3,18 @@
 `fingerprints` gives every whole text 64 bits from its word shingles. `link` finds the components of
 fingerprints that differ in at most `radius` bits, all exactly:
 
-* On all 64 bits, distances to a vantage point of unrelated texts crowd around 32 with a deviation of
-  4, so that a boundary strip of 4 bits holds most of them and a tree would visit almost all. Seen
-  through a mask it is different. With `radius + keep` blocks of bits, two linked fingerprints agree
-  on `keep` whole blocks, where their distances to any vantage point are equal: the strip has width 0,
-  and each shell of each such projection is a shard of its own. `keep` grows with the number of
-  fingerprints, so that shards stay small; every choice finds all pairs.
-* Within a shard a vantage-point tree on all bits splits by the median distance to a vantage point;
+* Fingerprints are partitioned by their Hamming distances to vantage points. Few of them are one shard. Many are
+  seen through masks: of `radius + keep` blocks of bits, two linked fingerprints agree on `keep` whole blocks, so
+  through one of the masks both have the same distance to any vantage point, and the shells of equal distances to a few vantage
+  points are shards whose boundary strips have no width. (On all 64 bits, distances of unrelated texts
+  crowd around 32 with a deviation of 4, and strips of 4 bits on either side hold most of them.) The number of vantage points, and
+  then `keep`, grow with the number of fingerprints, so that a shard holds about `SHARD_ROWS`; every choice finds all pairs.
+* Within a shard a vantage-point tree on all 64 bits splits by the median distance to a vantage point;
   pairs across the split are sought only in the strips that the triangle bound leaves.
-* A shard of more than `SHARD_ROWS` is cut into parts, and each two parts are queried together as a
-  shard of their own, so a third of all rows in one shard is many tasks. Tasks give the links of a
+* A shard of more than `SHARD_ROWS` is partitioned further by the distance on all bits to one more vantage point, in cells
+  of `radius + 1` bits: linked fingerprints lie in one cell or in neighbouring ones, so each cell is
+  queried with itself and, as far as its rows lie within the radius of the edge, with the next. A cell that is still too large is cut
+  into parts, each two of which are a query of their own, so a third of all rows in one cell is many tasks. Tasks give the links of a
   spanning forest, not all pairs.
 
 Equal fingerprints are one node, so copies are never compared.
@@ -30,6 +32,7 @@ same result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, combinations
@@ -37,21 +40,23 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import _common, _graph
 
-#: Rows of a shard, beyond which it is cut into parts.
-SHARD_ROWS = 1024
-#: Below so many rows a shard is compared outright.
-LEAF_ROWS = 96
+#: Rows that a shard holds as a rule, and beyond which it is partitioned further.
+SHARD_ROWS = 2048
+#: A tree's node of at most so many rows is a leaf.
+LEAF_ROWS = 64
 SEED = 42
 #: Bands of minima that make texts candidates, and minima of each.
 VIEWS, BAND = 24, 6
 #: Texts of a group of candidates, beyond which it is cut into parts, each two of which are compared.
 PART_TEXTS = 512
 
+#: Vantage points of the shards, and the one of the cells.
+_VANTAGE = [int(v) for v in np.random.default_rng(SEED + 2).integers(-(1 << 63), 1 << 63, 9)]
 _FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, VIEWS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, VIEWS * BAND, np.uint64)
 
@@ -93,29 +98,51 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
 
 def projections(n: int, radius: int) -> list[int]:
-    """Masks of which any two fingerprints within the radius agree on at least one."""
+    """Masks of which any two fingerprints within the radius agree on at least one; of few fingerprints, the one that hides all bits."""
+    if n <= SHARD_ROWS:
+        return [0]
     for keep in range(1, 65 - radius):
         blocks = radius + keep
-        if n >> (64 * keep // blocks) <= 64 or keep == 4:
+        if n >> (64 * keep // blocks) <= SHARD_ROWS or keep == 4:
             break
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [((1 << b) - 1) & ~((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     return [reduce(int.__or__, x) for x in combinations(masks, keep)]
 
 
+def vantage_points(n: int, bits: int) -> int:
+    """How many vantage points make shards of about `SHARD_ROWS`, by the chance that two random rows have equal distances to one."""
+    equal = math.comb(2 * bits, bits) / 4**bits
+    return next((k for k in range(len(_VANTAGE) - 1) if n * equal**k <= SHARD_ROWS), len(_VANTAGE) - 1)
+
+
+def _far(point: int, mask: int = -1) -> Column:
+    """Hamming distance of fp to a vantage point, through a mask."""
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(point)).bitwiseAND(F.lit(mask))).cast("long")
+
+
 def link(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(node, component) of the distinct fingerprints of `fps` (fp long) that links join to a smaller one."""
     n = fps.count()
-    masks = projections(n, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("view"), F.col("fp").bitwiseAND(F.lit(m)).alias("shell")) for k, m in enumerate(signed)))).alias("x")).select("x.view", "x.shell", "fp")
-    large = rows.groupBy("view", "shell").count().where(F.col("count") > SHARD_ROWS).select("view", "shell", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("parts"))
-    rows = rows.join(large, ["view", "shell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("view", "shell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"), "fp")
+    views = []
+    for k, m in enumerate(projections(n, radius)):
+        shell = reduce(lambda x, v, m=m: x * 65 + _far(v, m - (1 << 64) if m >> 63 else m), _VANTAGE[: vantage_points(n, m.bit_count())], F.lit(0).cast("long"))
+        views.append(F.struct(F.lit(k).alias("view"), shell.alias("shell")))
+    rows = fps.select("fp", F.explode(F.array(*views)).alias("x")).select("x.view", "x.shell", "fp")
+    width = radius + 1
+    rows = rows.withColumn("far", _far(_VANTAGE[-1])).withColumn("cell", F.floor(F.col("far") / width))
+    cells = rows.groupBy("view", "shell", "cell").count()
+    large = cells.groupBy("view", "shell").agg(F.sum("count").alias("n"), F.ceil(F.max("count") / SHARD_ROWS).alias("parts")).where(F.col("n") > SHARD_ROWS).drop("n")
+    rows = rows.join(large, ["view", "shell"], "left")
+    # The cells that a row meets: its own, and a neighbour if it lies within the radius of it.
+    low, high = F.col("cell") - (F.col("far") % width < radius).cast("int"), F.col("cell") + (F.col("far") % width > 0).cast("int")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    rows = rows.withColumn("own", F.coalesce(F.col("cell") * F.col("parts") + part, F.lit(0)))
+    others = F.when(F.col("parts").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long"))).otherwise(F.sequence(F.greatest(F.lit(0), low * F.col("parts")), (high + 1) * F.col("parts") - 1))
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.select("view", "shell", F.least("own", "other").cast("int").alias("a"), F.greatest("own", "other").cast("int").alias("b"), (F.col("own") > F.col("other")).alias("second"), "fp")
     keys = ["view", "shell", "a", "b"]
-    dealt = rows.repartition(_common.parallelism(fps.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = rows.repartition(_common.partitions(fps.sparkSession, 100 * len(views) * n), *keys).sortWithinPartitions(*keys)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
