@@ -92,6 +92,37 @@ def test_odd_rows(spark):
     assert suffix_dedup.cut(df).count() == 0
 
 
+def test_runs_over_many_partitions(spark, monkeypatch):
+    """A passage of half the texts, with words before and after it that some share, in blocks of few rows."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(suffix_dedup._common, "PARTITION_BYTES", 4000)
+    rng = random.Random(8)
+    common, heads, tails = prose(rng, 70), [prose(rng, 12) for _ in range(5)], [prose(rng, 30) for _ in range(5)]
+    docs = [(k, " ".join([prose(rng, rng.randint(0, 60)), rng.choice(heads), common, rng.choice(tails), prose(rng, rng.randint(0, 60))])) for k in range(120)]
+    docs += [(1000 + k, prose(rng, 80)) for k in range(100)] + docs[:5]
+    assert run(spark, docs) == want(docs)
+
+
+def test_words_that_hash_alike_are_not_cut(spark):
+    """The words are compared, not their hashes: these differ, and collide in any polynomial modulo 2^64."""
+    a = ["a", "b"]
+    for _ in range(11):
+        a = [a[0] + a[1], a[1] + a[0]]
+    rng = random.Random(9)
+    rest = [prose(rng, 30), prose(rng, 30)]
+    docs = [(1, f"{rest[0]} {a[0]} {rest[1]}"), (2, f"{rest[0]} {a[1]} {rest[1]}")]
+    assert run(spark, docs) == want(docs) == sorted(((str(i), t, []) for i, t in docs), key=str)
+
+
+def test_clashing_names(spark):
+    rng = random.Random(10)
+    p = prose(rng, 60)
+    names = ["__k", "__n", "__id", "__tk", "first", "cuts", "row", "same", "sha", "0", "1", "t", "k"]
+    df = spark.createDataFrame([(1, p, *"abcdefghijklm"), (2, "x " + p, *"abcdefghijklm")], ["doc_id", "text", *names])
+    got = {r.doc_id: r for r in suffix_dedup.cut(df).collect()}
+    assert all("".join(got[i][n] for n in names) == "abcdefghijklm" for i in (1, 2)) and got[1].text == p and got[2].text == "x"
+
+
 @pytest.mark.parametrize("at", ["/root/testdata/sf0.01"])
 def test_op4_on_a_whole_table(spark, at):
     docs = [tuple(r) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]

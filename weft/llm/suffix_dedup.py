@@ -1,30 +1,34 @@
-"""Repeated passages cut by minimiser-seeded hashing of windows, in place of a sparse suffix array.
+"""Repeated passages cut by a sparse suffix array.
 
 Words are runs of bytes other than ASCII white space. A suffix is retained where a minimiser stands: of the
 `STEP` suffixes that could begin a seed within a passage of `PASSAGE_WORDS` words, the one whose first `SEED_WORDS` words hash lowest.
 That choice depends on the passage's words alone, so two equal passages retain the same suffix, and no other
-suffixes need a look. Retained suffixes are not sorted but grouped by the hash of their first words; where
-a seed is shared across the corpus, every window of `PASSAGE_WORDS` words around it is grouped by its own
-hash. Of equal passages the first stays, by (smallest id of the text, text, place), and
+suffixes need a look. Suffixes whose seed's hash occurs only once have no neighbour to match and are left out. The others are sorted by their
+first `PASSAGE_WORDS` words, by a range partitioning with the place as last key, so that even a passage that a third of all texts share is
+dealt to many tasks. In that order neighbours are compared word by word: the words that they have in
+common to the right, and the ones before them, extend the match in both directions, and it is a passage where both ways together have
+`PASSAGE_WORDS`. Matches that reach the edge of a partition are settled between partitions, one row a passage and partition, by the
+128-bit digest of their words. Of equal passages the first stays, by (smallest id of the text, text, place), and
 every word that lies in a later one is cut.
 
-Equal whole texts of `PASSAGE_WORDS` words or more are one text; that of the smallest id stays, the others
+Equal whole texts (by SHA-256) of `PASSAGE_WORDS` words or more are one text; that of the smallest id stays, the others
 are emptied. Minima and counts are combined before their shuffle, and all joins are plain ones
 whose large partitions Spark splits, so a passage in a third of all rows is no single task.
 
 Defined results: a null text stays null; texts without a repeated passage stay as they are, character for
 character; texts shorter than a passage always do. Repeated rows (same id, same text) are one document
-and get equal results; a row with a null id comes after all others. Other columns pass through.
+and get equal results; a row with a null id comes after all others. Other columns pass through, but for one named
+`spans`, which the result's replaces.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,9 @@ SEED_WORDS = 25
 #: Seeds of a passage.
 STEP = PASSAGE_WORDS - SEED_WORDS + 1
 
+#: Sorted suffixes that a task looks at together, and more where a run of equal seeds is longer.
+BLOCK_ROWS = 1 << 15
+
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MARK = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
@@ -69,30 +76,24 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def passages(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Word starts and ends; each passage's hash, its seed's hash and place. None for a text too short."""
+def minimisers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Each passage's seed: its hash and its place in words. None for a text too short."""
     if len(data) < 2 * PASSAGE_WORDS - 1:
         return None
     starts, ends = words(data)
     n = len(starts)
     if n < PASSAGE_WORDS:
         return None
-    each = _rolling(_MARK[data], starts, ends, _P)
     at = np.arange(n - SEED_WORDS + 1)
-    seeds = _rolling(each, at, at + SEED_WORDS, _Q)
-    first = np.arange(n - PASSAGE_WORDS + 1)
-    least = np.lib.stride_tricks.sliding_window_view(seeds, STEP).argmin(axis=1) + first
-    return starts, ends, _rolling(each, first, first + PASSAGE_WORDS, _Q), seeds[least], least
+    seeds = _rolling(_rolling(_MARK[data], starts, ends, _P), at, at + SEED_WORDS, _Q)
+    least = np.lib.stride_tricks.sliding_window_view(seeds, STEP).argmin(axis=1) + np.arange(n - PASSAGE_WORDS + 1)
+    return seeds[least], least
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-def _key(text: str) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).view(np.int64))
-
-
 def _long(text: Column) -> Column:
     """A text that is long enough for a passage; words have a byte and a blank between them."""
     return F.octet_length(text) >= 2 * PASSAGE_WORDS - 1
@@ -107,11 +108,11 @@ def _suffixes(docs: DataFrame) -> DataFrame:
             twice: list[np.ndarray] = []
             keys: list[np.ndarray] = []
             for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                p = passages(_bytes(text))
+                p = minimisers(_bytes(text))
                 if p is None:
                     continue
-                _, first = np.unique(p[4], return_index=True)
-                seeds, times = np.unique(p[3][first], return_counts=True)
+                _, first = np.unique(p[1], return_index=True)
+                seeds, times = np.unique(p[0][first], return_counts=True)
                 found.append(seeds)
                 twice.append(times > 1)
                 keys.append(np.full(len(seeds), k, np.int64))
@@ -121,71 +122,197 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return docs.where(_long(F.col("text"))).select("k", "text").mapInArrow(of, "seed long, k long, twice boolean")
 
 
-def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with later occurrences of repeated passages cut; adds `spans`, the cut stretches of characters."""
-    names = docs.columns
-    bare = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("k"), F.octet_length(text).alias("n"))
-    suffixes = _suffixes(bare)
-    shared = suffixes.groupBy("seed").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max("twice").alias("twice")).where("a <> b or twice").select(F.col("seed").alias("shared"))
-    of_text = suffixes.select("seed", F.col("k").alias("own")).join(shared, F.col("seed") == F.col("shared")).groupBy("own").agg(F.collect_set("seed").alias("seeds"))
-    texts = bare.where(_long(F.col("text"))).groupBy("k", "n").agg(F.min("id").alias("first"))
-    known = _common.stash(texts.join(of_text, F.col("k") == F.col("own"), "left").select("k", "n", "first", "seeds"), "suffixes")
+def _contexts(texts: DataFrame) -> DataFrame:
+    """Retained suffixes with a shared seed: their words, those before them, and how many words before them a passage may begin."""
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches, "text"):
-            for name, k, body, seeds in zip(*(batch.column(c).to_pylist() for c in ("id", "k", "text")), batch.column("seeds"), strict=True):
-                p = passages(_bytes(body))
+            right, left, owners, places, low, high = [], [], [], [], [], []
+            for row, (text, seeds) in enumerate(zip(batch.column("text").to_pylist(), batch.column("seeds"), strict=True)):
+                raw = text.encode()
+                p = minimisers(np.frombuffer(raw, np.uint8))
                 if p is None:
                     continue
-                at = np.flatnonzero(np.isin(p[3], seeds.values.to_numpy().view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(p[2][at].view(np.int64)), pa.array([name] * len(at), pa.int64()), pa.array(np.full(len(at), k, np.int64)), pa.array(at.astype(np.int32))], names=["passage", "id", "k", "place"])
-
-    one = known.where("seeds is not null").select(F.col("k").alias("tk"), F.col("n").alias("tn"), "first", "seeds")
-    same = (F.col("k") == F.col("tk")) & (F.col("n") == F.col("tn"))
-    found = bare.join(one, same & F.col("id").eqNullSafe(F.col("first"))).select("id", "k", "text", "seeds").mapInArrow(extend, "passage long, id long, k long, place int")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "k", "place")
-    owner = found.groupBy("passage").agg(F.min(order).alias("o"))
-    owned = owner.groupBy(F.col("o.k").alias("ok"), F.col("o.id").alias("oid")).agg(F.collect_list("o.place").alias("owned"))
-    plan = known.join(owned, (F.col("k") == F.col("ok")) & F.col("first").eqNullSafe(F.col("oid")), "left").select(F.col("k").alias("__tk"), F.col("n").alias("__tn"), F.col("first").alias("__first"), F.col("seeds").alias("__seeds"), F.col("owned").alias("__owned"))
+                at, first, times = np.unique(p[1], return_index=True, return_counts=True)
+                some = np.flatnonzero(np.isin(p[0][first], seeds.values.to_numpy().view(np.uint64)))
+                if not len(some):
+                    continue
+                body = raw.split()
+                plain = b" ".join(body)
+                ends = np.cumsum([len(w) + 1 for w in body])
+                begins = np.concatenate(([0], ends[:-1]))
+                for place, since, n in zip(at[some].tolist(), first[some].tolist(), times[some].tolist()):
+                    right.append(plain[begins[place] : ends[min(len(body), place + PASSAGE_WORDS) - 1] - 1])
+                    left.append(plain[begins[max(0, place - STEP + 1)] : begins[place]])
+                    owners.append(row)
+                    places.append(place)
+                    low.append(place - since - n + 1)
+                    high.append(place - since)
+            if owners:
+                index = pa.array(owners)
+                own = [batch.column(c).take(index) for c in ("t", "id", "k")]
+                yield pa.RecordBatch.from_arrays([pa.array(right, pa.binary()), pa.array(left, pa.binary()), *own, *(pa.array(x, pa.int32()) for x in (places, low, high))], names=["right", "left", "t", "id", "k", "place", "low", "high"])
+
+    return texts.mapInArrow(of, "right binary, left binary, t long, id long, k long, place int, low int, high int")
+
+
+def _codes(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, list[bytes]]:
+    """A row of word numbers for each run of words, the nearest first; -1 where there are no more."""
+    split = pc.split_pattern(column.cast(pa.large_binary()), b" ") if not backwards else pc.split_pattern(pc.binary_slice(column, 0, -1).cast(pa.large_binary()), b" ")
+    found = split.flatten().dictionary_encode()
+    offsets = split.offsets.to_numpy()
+    sizes = np.where(pc.binary_length(column).to_numpy(zero_copy_only=False) > 0, np.diff(offsets), 0)
+    out = np.full((len(column), width), -1, np.int32)
+    rows, at = np.repeat(np.arange(len(column)), sizes), _common.ragged(np.zeros(len(sizes), np.int64), sizes)
+    out[rows, np.repeat(sizes, sizes) - 1 - at if backwards else at] = found.indices.to_numpy(zero_copy_only=False)[_common.ragged(offsets[:-1], sizes)]
+    return out, found.dictionary.to_pylist()
+
+
+def _shared(right: np.ndarray) -> np.ndarray:
+    """How many first words each row has in common with the next."""
+    same = right[1:] == right[:-1]
+    return np.where(same.all(axis=1), right.shape[1], same.argmin(axis=1))
+
+
+def _matches(t: pa.RecordBatch, right: np.ndarray, common: np.ndarray, opens: int, closes: int) -> tuple[np.ndarray, list[tuple[bytes, int, int]]]:
+    """Of sorted suffixes, a mask of the passages around each that an earlier place has, and open ones (digest, row, words before).
+
+    Bit x of a mask: the passage that begins x words before the suffix. common: words shared with the next row.
+    Rows before `opens` and from `closes` on lie in runs that go on in other partitions, so their first places are open.
+    """
+    left, names = _codes(t.column("left"), STEP - 1, True)
+    id_, k, place, low, high = (t.column(c) for c in ("id", "k", "place", "low", "high"))
+    low, high, keys = low.to_numpy(), high.to_numpy(), [id_.is_null().to_numpy(zero_copy_only=False), pc.fill_null(id_, 0).to_numpy(), k.to_numpy(), place.to_numpy()]
+    order = np.lexsort(keys[::-1])
+    # Repeated rows are one text, so their places are equal.
+    rank = np.zeros(len(order), np.int64)
+    rank[order[1:]] = np.cumsum(np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in keys]))
+    mask, ends = np.zeros(len(rank), np.int32), []
+    edge = np.ones(len(rank), bool)
+    edge[opens:closes] = False
+    before = np.zeros(len(rank), np.int64)
+    words_of: list[list[bytes]] | None = None
+    for x in range(STEP):
+        if x:  # equal in one word more to the left
+            before = np.unique(before * (len(names) + 1) + left[:, x - 1] + 1, return_inverse=True)[1].ravel()
+        rows = np.flatnonzero((low <= x) & (x <= high))
+        if not len(rows):
+            continue
+        segment = np.concatenate(([0], np.cumsum(common < PASSAGE_WORDS - x)))
+        name = (segment * (int(before.max()) + 1) + before)[rows]
+        by = np.lexsort((rank[rows], name))
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = name[by][1:] != name[by][:-1]
+        first = rows[by[fresh]]
+        own = rows[by]
+        mask[own[rank[own] > rank[np.repeat(first, np.diff(np.append(np.flatnonzero(fresh), len(by))))]]] |= 1 << x
+        for row in first[edge[first]].tolist():
+            if words_of is None:
+                words_of = [t.column("right").to_pylist(), t.column("left").to_pylist()]
+            whole = b" ".join([*(words_of[1][row].split()[-x:] if x else ()), *words_of[0][row].split()[: PASSAGE_WORDS - x]])
+            ends.append((hashlib.blake2b(whole, digest_size=16).digest(), row, x))
+    return mask, ends
+
+
+def repeats(contexts: DataFrame) -> DataFrame:
+    """(t, place, mask) of suffixes of which passages are repeats: bit x of the mask for the one that begins x words before."""
+    order = ["right", "id", "k", "place"]
+    size = contexts.agg(F.sum(F.octet_length("right") + F.octet_length("left") + 60)).head()[0] or 0
+    block = BLOCK_ROWS
+    dealt = contexts.repartitionByRange(_common.partitions(contexts.sparkSession, size), *order).sortWithinPartitions(*order)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        begun = False  # a run that doesn't touch the partition's beginning has been reached
+
+        def out(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, begun
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            right, _ = _codes(t.column("right"), PASSAGE_WORDS, False)
+            common = _shared(right)
+            turns = np.flatnonzero(common < SEED_WORDS) + 1
+            if not final and not len(turns):
+                held = [t]
+                return
+            to = t.num_rows if final else int(turns[-1])
+            opens = 0 if begun else (int(turns[0]) if len(turns) else t.num_rows)
+            closes = (int(turns[-1]) if len(turns) else 0) if final else to
+            mask, ends = _matches(t.slice(0, to), right[:to], common[: to - 1], opens, closes)
+            begun, held = True, [] if final else [t.slice(to)]
+            some = np.flatnonzero(mask)
+            index = pa.array(np.concatenate((some, np.array([row for _, row, _ in ends], np.int64))))
+            masks = pa.array([*mask[some].tolist(), *(1 << x for _, _, x in ends)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(t.column(c).take(index) for c in ("t", "id", "k", "place")), masks, pa.array([None] * len(some) + [d for d, _, _ in ends], pa.binary())], names=["t", "id", "k", "place", "mask", "passage"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= block:
+                    yield from out(False)
+        if held:
+            yield from out(True)
+
+    found = _common.stash(dealt.mapInArrow(of, "t long, id long, k long, place int, mask int, passage binary"), "repeats")
+    open_ = found.where("passage is not null").withColumn("o", F.struct(F.col("id").isNull().alias("last"), "id", "k", "place"))
+    owner = open_.groupBy(F.col("passage").alias("p")).agg(F.min("o").alias("first"))
+    settled = open_.join(owner, F.col("passage") == F.col("p")).where(~F.col("o").eqNullSafe(F.col("first")))
+    return found.where("passage is null").select("t", "place", "mask").union(settled.select("t", "place", "mask"))
+
+
+def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with later occurrences of repeated passages cut; adds `spans`, the cut stretches of characters."""
+    kept = [c for c in docs.columns if c != "spans"]
+    digest = F.when(_long(F.col(text)), F.sha2(text, 256))
+    bare = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("k"), digest.alias("sha"))
+    suffixes = _common.stash(_suffixes(bare), "seeds")
+    shared = suffixes.groupBy("seed").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max("twice").alias("twice")).where("a <> b or twice").select(F.col("seed").alias("shared"))
+    of_text = suffixes.join(shared, F.col("seed") == F.col("shared")).groupBy(F.col("k").alias("own")).agg(F.collect_set("seed").alias("seeds"))
+    texts = bare.where("sha is not null").groupBy("sha", "k").agg(F.min("id").alias("first"))
+    known = texts.join(of_text, F.col("k") == F.col("own"), "left").select("sha", "k", "first", "seeds")
+    known = _common.stash(known.withColumn("t", F.monotonically_increasing_id()), "texts")
+    one = known.where("seeds is not null").select(F.col("sha").alias("same"), "t", "first", "seeds")
+    found = bare.join(one, (F.col("sha") == F.col("same")) & F.col("id").eqNullSafe(F.col("first"))).select("t", "id", "k", "text", "seeds")
+    # Sorting samples its input, which therefore is a table.
+    contexts = _common.stash(_contexts(found), "contexts")
+    later = repeats(contexts).groupBy(F.col("t").alias("of")).agg(F.collect_list(F.struct("place", "mask")).alias("cuts"))
+    plan = known.join(later, F.col("t") == F.col("of"), "left").select(F.col("sha").alias("same"), "first", "cuts")
     plan = _common.stash(plan, "passages")
-    rows = docs.withColumns({"__k": F.xxhash64(text), "__n": F.octet_length(text), "__id": F.col(doc_id).cast("long")})
-    rows = rows.join(plan, (F.col("__k") == F.col("__tk")) & (F.col("__n") == F.col("__tn")), "left").drop("__k", "__n", "__tk")
-    kept = [c for c in names if c != "spans"]
-    rows = rows.select(*(F.col(f"`{c}`") for c in kept), "__id", "__tn", "__first", "__seeds", "__owned")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(doc_id).cast("long").alias("id"), digest.alias("sha"))
+    rows = rows.join(plan, F.col("sha") == F.col("same"), "left").select("row", "id", "same", "first", "cuts")
+    where = kept.index(text)
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("spans")).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches, text):
-            body = batch.column(text).to_pylist()
-            spans: list[list | None] = [None] * len(body)
-            known = pc.is_valid(batch.column("__tn")).to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(known).tolist():
-                name, first = batch.column("__id")[k].as_py(), batch.column("__first")[k].as_py()
-                if name != first:
-                    # Shorter in words than a passage, it isn't cut even as a whole.
-                    if len(words(_bytes(body[k]))[0]) >= PASSAGE_WORDS:
-                        spans[k], body[k] = [(0, len(body[k]))], ""
-                    continue
-                seeds, owned = batch.column("__seeds")[k], batch.column("__owned")[k]
-                if seeds.is_valid:
-                    body[k], spans[k] = _without(body[k], seeds.values.to_numpy().view(np.uint64), owned.values.to_numpy() if owned.is_valid else np.zeros(0, np.int32))
-            columns = [pa.array(body, pa.string()) if c == text else batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([[{"start": a, "end": b} for a, b in s or ()] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*kept, "spans"])
+        for whole in batches:
+            columns = [*whole.column("row").flatten(), *(whole.column(c) for c in ("id", "same", "first", "cuts"))]
+            for batch in _common.slices([pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])], str(where)):
+                name, same, first, cuts = batch.columns[len(kept) :]
+                body = batch.column(where).to_pylist()
+                spans: list[list | None] = [None] * len(body)
+                for k in np.flatnonzero(pc.is_valid(same).to_numpy(zero_copy_only=False)).tolist():
+                    if name[k].as_py() != first[k].as_py():
+                        # Shorter in words than a passage, it isn't cut even as a whole.
+                        if len(words(_bytes(body[k]))[0]) >= PASSAGE_WORDS:
+                            spans[k], body[k] = [(0, len(body[k]))], ""
+                    elif cuts[k].is_valid:
+                        own = cuts[k].values
+                        body[k], spans[k] = _without(body[k], own.field("place").to_numpy(), own.field("mask").to_numpy())
+                done = [pa.array(body, pa.string()) if c == where else batch.column(c) for c in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*done, pa.array([[{"start": a, "end": b} for a, b in s or ()] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*kept, "spans"])
 
-    schema = rows.select(*(F.col(f"`{c}`") for c in kept), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("spans")).schema
     return rows.mapInArrow(apply, schema)
 
 
-def _without(text: str, seeds: np.ndarray, owned: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
+def _without(text: str, places: np.ndarray, masks: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
     """The text without the words of passages that an earlier text or place has, and what was cut."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    starts, ends, _, least, _ = passages(data)  # type: ignore[misc]
-    later = np.isin(least, seeds)
-    later[owned] = False
+    starts, ends = words(data)
     edge = np.zeros(len(starts) + 1, np.int64)
-    at = np.flatnonzero(later)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + PASSAGE_WORDS, -1)
+    for x in range(STEP):
+        at = places[masks >> x & 1 == 1] - x
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + PASSAGE_WORDS, -1)
     gone = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
     turns = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
     if not len(turns):
