@@ -111,3 +111,39 @@ def test_one_phone_number_in_all_layouts(spark):
     digits = [re.sub("[^0-9]", "", got[i]) for i in range(len(rows))]
     assert digits[0] == digits[1] == digits[2] == "1" + digits[3] and digits[4] == digits[5] == digits[6] and digits[7] == digits[8] and digits[9] == digits[10]
     assert got[0].startswith("+1 ") and got[1].startswith("+1") and got[5].startswith("+49") and got[8].startswith("+354") and all(got[i] != rows[i] for i in range(len(rows)))
+
+
+def test_very_long_entities(spark):
+    """No recursion with the number of labels, and no quadratic time with an entity's length."""
+    rows = ["a@" + "b." * 100_000 + "com", "token=" + "a1" * 500_000, "x" * 1_000_000, "Mr " + "S" + "m" * 100_000, "token=" * 100_000, "1" * 500_000, "a.b@" * 100_000, "+1 " * 100_000, "key: \"" * 50_000]
+    got = {r.doc_id: r for r in pii.replace(frame(spark, rows), KEY).collect()}
+    assert [got[i].n_entities for i in (0, 1, 2, 3)] == [1, 1, 0, 1] and len(got) == len(rows)
+    assert len(got[0].text) == len(rows[0]) and got[0].text.endswith(".com") and got[1].text != rows[1] and len(got[1].text) == len(rows[1])
+
+
+def test_names_word_by_word(spark):
+    rows = ["Mr John Smith", "Mr Smith", "Mr John", "Mrs Smith", "Herr Smith"]
+    got = {r.doc_id: r.text.split(" ")[1:] for r in pii.replace(frame(spark, rows), KEY).collect()}
+    assert got[0] == [got[2][0], got[1][0]] and got[4] == got[1]
+    assert got[3][0][:-1] == got[1][0][:-2] and got[1][0].endswith("n") and got[3][0].endswith("a")
+
+
+def test_check_digits(spark):
+    def luhn(x):
+        return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(x)))) % 10 == 0
+
+    def iban(x):
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    rows = ["4539578763621486", "4539 5787 6362 1486", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "order 12345678901234", "378282246310005", "1234567890123456", "GB12 WEST 1234 5698 7654 32"]
+    got = {r.doc_id: r for r in pii.replace(frame(spark, rows), KEY).collect()}
+    new = [re.sub(" ", "", got[i].text) for i in range(8)]
+    assert luhn(new[0]) and new[0] == new[1] != rows[0] and iban(new[2]) and new[2] == new[3] != rows[3] and got[2].text[4] == " " and new[2].startswith("GB")
+    assert got[4].text == rows[4] and got[4].n_entities == 0 and luhn(new[5]) and new[5] != rows[5] and new[6] != rows[6] and new[7] != rows[7].replace(" ", "")
+
+
+def test_names_that_clash_and_the_mark(spark):
+    df = spark.createDataFrame([(1, "a.1@mail.org \x01 b.2@mail.org", 7, *"abcdefgh"), (2, "plain", 8, *"abcdefgh"), (3, None, 9, *"abcdefgh")], ["doc_id", "text", "n_entities", "__n", "__found", "__new", "__again", "row", "found", "id", "again"])
+    got = {r.doc_id: r for r in pii.replace(df, KEY).collect()}
+    assert [got[i].n_entities for i in (1, 2, 3)] == [2, 0, 0] and all("".join(got[i][c] for c in df.columns[3:]) == "abcdefgh" for i in got)
+    assert re.fullmatch("[a-z]\\.\\d@[a-z]{4}\\.org \x01 [a-z]\\.\\d@[a-z]{4}\\.org", got[1].text) and got[2].text == "plain" and got[3].text is None
