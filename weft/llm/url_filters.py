@@ -30,8 +30,7 @@ def with_parts(urls: DataFrame, url: str = "url") -> DataFrame:
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    host = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return urls.withColumns({"host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
+    return urls.withColumns({"host": _small(host), "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
@@ -40,7 +39,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     `rules` has host, path and verdict. A rule fits its host and all subdomains if the URL's path
     starts with the rule's path.
     """
-    rules = rules.select(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict").where("rule_host is not null").groupBy("rule_host", "rule_path").agg(F.min("verdict").alias("verdict"))
+    rules = rules.select(_small("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict").where("rule_host is not null").groupBy("rule_host", "rule_path").agg(F.min("verdict").alias("verdict"))
     keyed = rules.withColumn("digest", _digest("rule_host", "rule_path"))
     keyed = keyed.withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     small = keyed.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
@@ -59,10 +58,11 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         .select("url", _digest("suffix", "head").alias("full"))
         .withColumn("short", F.substring("full", 1, PREFIX_HEX))
     )
-    hits = spread.join(F.broadcast(keyed) if small else keyed, (F.col("short") == F.col("prefix")) & (F.col("full") == F.col("digest")))
+    candidates = spread.join(F.broadcast(keyed) if small else keyed, F.col("short") == F.col("prefix"))
     name = F.concat("rule_host", "rule_path")
-    best = hits.groupBy("url").agg(F.min(F.struct((-F.length(name)).alias("shorter"), name.alias("rule"), "verdict")).alias("best"))
-    best = best.withColumnRenamed("url", "hit_url")
+    # Within the aggregate, so that the comparison of digests is no second key of the join.
+    confirmed = F.when(F.col("full") == F.col("digest"), F.struct((-F.length(name)).alias("shorter"), name.alias("rule"), "verdict"))
+    best = candidates.groupBy("url").agg(F.min(confirmed).alias("best")).withColumnRenamed("url", "hit_url")
     return distinct.join(best, F.col("url") == F.col("hit_url"), "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
@@ -74,5 +74,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     return own.join(judged, F.col("own_url").eqNullSafe(F.col("url")), "left").select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(names)), "host", "path", "rule", "verdict")
 
 
+def _small(host: F.Column | str) -> F.Column:
+    """A-Z in lower case."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _digest(host: str, path: str) -> F.Column:
     return F.sha2(F.concat(F.col(host), F.lit("\n"), F.col(path)), 256)
