@@ -2,8 +2,8 @@
 
 Pieces differ for the packer only in their length, so the plan is made on the histogram of lengths:
 at most `capacity` counts, however large the corpus. The longest length opens a sequence. Its gap is
-looked up among the sums of one, two or three available lengths; a combination that fills it exactly
-is taken as often as the counts allow. Where none does, the longest length that fits goes in and the
+looked up in an index of the sums of one, two or three lengths, made once over the lengths that occur; of the combinations
+that fill it exactly, one that the counts still allow is taken as often as they do. Where none does, the longest length that fits goes in and the
 smaller gap is looked up again. Each pattern runs at least one length short, which bounds the
 plan by the capacity as well. Pieces then take their places by their rank within their length,
 counted by bucket, so that one very common length is spread over as many tasks as there are buckets.
@@ -53,29 +53,45 @@ def cut(docs: DataFrame, source: str, end_id: int = 0, capacity: int = CAPACITY,
     return kept.mapInArrow(of, "row_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def _exact(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths that fill the gap, of pairs those with most left."""
-    if left[gap] > 0:
-        return (gap,)
-
-    def pair(total: int, left: np.ndarray) -> tuple[int, int] | None:
-        low = np.arange(1, total // 2 + 1)
-        n = np.minimum(left[low], left[total - low])
-        if total % 2 == 0 and len(n):
-            n[-1] = left[total // 2] // 2
-        return (int(low[k]), total - int(low[k])) if len(n) and n[k := int(np.argmax(n))] > 0 else None
-
-    if two := pair(gap, left):
-        return two
-    for one in np.flatnonzero(left[: gap - 1] > 0)[::-1].tolist():
-        if 3 * one < gap:  # it would be the longest of the three
-            break
-        left[one] -= 1
-        two = pair(gap - one, left)
-        left[one] += 1
-        if two:
-            return (one, *two)
-    return None
+class Sums:
+    """Exact complements: by sum, the pairs and triples of lengths that give it. Which are still available, the counts say."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int) -> None:
+        #: By sum, the smaller length of each pair, ascending.
+        self.pairs: list[np.ndarray] = [np.zeros(0, np.int64)] * (capacity + 1)
+        first, second = np.triu_indices(len(lengths))
+        total, low = lengths[first] + lengths[second], lengths[first]
+        total, low = total[total <= capacity], low[total <= capacity]
+        order = np.lexsort((low, total))
+        for own in np.split(order, np.flatnonzero(np.diff(total[order])) + 1) if len(order) else ():
+            self.pairs[int(total[own[0]])] = low[own]
+        #: By sum, the longest length of each triple, descending, where a pair gives the rest.
+        paired = np.array([len(x) > 0 for x in self.pairs])
+        self.triples = [longest[paired[s - longest]] for s in range(capacity + 1) for longest in [lengths[(lengths < s) & (3 * lengths >= s)][::-1]]]
+
+    def pair(self, total: int, left: np.ndarray) -> tuple[int, int] | None:
+        """The pair with most left."""
+        low = self.pairs[total]
+        if not len(low):
+            return None
+        n = np.where(low * 2 == total, left[low] // 2, np.minimum(left[low], left[total - low]))
+        k = int(np.argmax(n))
+        return (int(low[k]), total - int(low[k])) if n[k] > 0 else None
+
+    def exact(self, gap: int, left: np.ndarray) -> tuple[int, ...] | None:
+        """One, two or three available lengths that fill the gap."""
+        if left[gap] > 0:
+            return (gap,)
+        if two := self.pair(gap, left):
+            return two
+        for one in self.triples[gap].tolist():
+            if left[one] > 0:
+                left[one] -= 1
+                two = self.pair(gap - one, left)
+                left[one] += 1
+                if two:
+                    return (one, *two)
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -83,12 +99,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
-    out = []
+    out, sums = [], Sums(np.flatnonzero(left), capacity)
     while len(there := np.flatnonzero(left)):
         parts, gap = [], capacity
         rest = left.copy()
         while gap:
-            if parts and (found := _exact(gap, rest)):
+            if parts and (found := sums.exact(gap, rest)):
                 parts += found
                 break
             fit = there[np.searchsorted(there, gap, side="right") - 1] if there[0] <= gap else 0
