@@ -106,3 +106,51 @@ def test_added_tokens_are_those_of_an_unaltered_library(kind, name):
     texts = ["hello <|endoftext|> world", "<|startoftext|>a", "<|ENDOFTEXT|> x", "no token", "<|endoftext|>", "日本 <|endoftext|>"]
     got = [np.frombuffer(x, "<u2").tolist() for x in tool.ids_of(texts)]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r"\p{L}+|\P{L}"])
+def test_bpe_honours_its_pattern(spark, pattern):
+    import tiktoken
+
+    source = queries.vocabulary("byte_bpe_50k.tiktoken")
+    tool = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=tokens.read_ranks(source), special_tokens={})
+    rows = [(1, "don't stop 123  x"), (2, "don't stop 123  д"), (3, "")]
+    got = {r.row_id: bytes(r.ids) for r in bpe.encode(docs(spark, rows), source, pattern).collect()}
+    assert got == {i: np.array(tool.encode_ordinary(t), "<u4").tobytes() for i, t in rows}
+
+
+def test_bpe_pattern_is_the_given_one():
+    assert P.PATTERN == tokens.SPACED
+
+
+@pytest.mark.parametrize("kind, name", [("byte", "byte_bpe_50k.json"), ("plain", "word_bpe_49k.json")])
+def test_another_pre_tokenizer_is_honoured(kind, name):
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert tokens.library(queries.vocabulary(name), kind).known
+    parts = json.loads(queries.vocabulary(name))
+    parts["normalizer"], parts["pre_tokenizer"] = {"type": "Lowercase"}, {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    source = json.dumps(parts)
+    tool, plain = tokens.library(source, kind), Tokenizer.from_str(source)
+    for text in ("Don't stop 123  x", "", "é 12 д"):
+        assert np.frombuffer(tool.ids(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_wide_vocabularies_and_a_lasting_path(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    parts = json.loads(queries.vocabulary("byte_bpe_50k.json"))
+    parts["added_tokens"].append(parts["added_tokens"][0] | {"id": 70_000, "content": "<|far|>"})
+    parts["model"]["vocab"]["<|far|>"] = 70_000
+    source = json.dumps(parts)
+    assert tokens.widest(source) == "<u4" and tokens.widest(queries.vocabulary("byte_bpe_50k.json")) == "<u2"
+    rows = [(1, "a <|far|> b"), (2, "c"), *[(7, "same id")] * 30, *[(None, "none")] * 30]
+    binary.write_shards(docs(spark, rows), source, 2, path=f"{tmp_path}/shards")
+    got = binary.read_documents(spark.read.parquet(f"{tmp_path}/shards")).collect()
+    plain = Tokenizer.from_str(source)
+    want = sorted((str(i), zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == want

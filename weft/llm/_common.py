@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Bytes that a partition dealt by a fixed number gets at most, unless one key has more.
 PARTITION_BYTES = 64 << 20
+#: Estimates beyond it are none: plans that don't know a size give the largest number there is.
+MOST_BYTES = 1 << 47
 
 _kept: set[str] = set()
 _shipped: set[str] = set()
@@ -58,6 +60,12 @@ def partitions(spark: SparkSession, size: int) -> int:
     return max(parallelism(spark), -(-size // PARTITION_BYTES))
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of df, from the sizes of its files; 0 where it doesn't know."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < MOST_BYTES else 0
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set, which only a local master can use."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

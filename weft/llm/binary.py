@@ -161,15 +161,17 @@ class WaveletMatrix:
         return out
 
 
-def write_shards(docs: DataFrame, source: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, source: str, end_id: int, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Encode, order and write all documents; the table of the written files.
 
-    source: the contents of a `tokenizers` file of byte-level BPE.
+    source: the contents of a `tokenizers` file of byte-level BPE; path: where the table is to stay, of
+    any store that Spark writes to (by default a folder that goes when the driver ends).
     """
-    end = np.array([end_id], "<u2").tobytes()
+    dtype = tokens.widest(source, end_id)
+    end, each = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part, shard = tokens.library(source, "byte"), TaskContext.get().partitionId(), 0
+        tool, part, shard = tokens.library(source, "byte", dtype), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         names: list[int] = []
         lengths: list[int] = []
@@ -178,7 +180,7 @@ def write_shards(docs: DataFrame, source: str, end_id: int, doc_id: str = "doc_i
         def close() -> pa.RecordBatch:
             nonlocal shard, size
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([pack(np.frombuffer(b"".join(ids), "<u2"))], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([pack(np.frombuffer(b"".join(ids), dtype))], pa.binary())],
                 names=["part", "shard", "doc_ids", "lengths", "n_ids", "payload"],
             )
             shard, size = shard + 1, 0
@@ -191,17 +193,23 @@ def write_shards(docs: DataFrame, source: str, end_id: int, doc_id: str = "doc_i
                 found += end
                 names.append(name)
                 ids.append(found)
-                lengths.append(len(found) // 2)
-                size += len(found) // 2
+                lengths.append(len(found) // each)
+                size += len(found) // each
                 if size >= SHARD_TOKENS:
                     yield close()
         if names:
             yield close()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("row_id"), _common.lossless_text(text).alias("text"))
-    n = max(_common.parallelism(docs.sparkSession), docs.sparkSession.sparkContext.defaultParallelism)
-    ordered = rows.repartitionByRange(n, "row_id").sortWithinPartitions("row_id")
-    return _common.stash(ordered.mapInArrow(build, _SHARDS), "tokens")
+    n = max(_common.partitions(docs.sparkSession, _common.size_of(rows)), docs.sparkSession.sparkContext.defaultParallelism)
+    # Rows of one id, or without one, are in any order, and so may go to several partitions.
+    order = [F.col("row_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    shards = ordered.mapInArrow(build, _SHARDS)
+    if path is None:
+        return _common.stash(shards, "tokens")
+    shards.write.mode("errorifexists").parquet(path)
+    return docs.sparkSession.read.schema(shards.schema).parquet(path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

@@ -135,8 +135,11 @@ def encode(docs: DataFrame, source: str, pattern: str, doc_id: str = "doc_id", t
     Gives (row_id, n_tokens, ids binary little-endian uint32, decoded binary), or with `digests`
     the SHA-256 of both in place of the two.
     """
-    n = _common.parallelism(docs.sparkSession)
+    spark = docs.sparkSession
+    n = _common.partitions(spark, _common.size_of(docs))
     pieces = _common.stash(chunked(docs, source, pattern, BUCKETS_EACH * n, doc_id, text), "bpe")
+    # A task puts together about as many chunks as one read, however many there are.
+    chunks = max(_common.parallelism(spark), pieces.where("bucket is null").count())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, known = tokens.ranks(source, pattern), {}
@@ -185,4 +188,5 @@ def encode(docs: DataFrame, source: str, pattern: str, doc_id: str = "doc_id", t
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], last), pa.array(out[3], last)], names=["row_id", "n_tokens", *names])
 
     whole = pieces.where("bucket is null").select(F.col("chunk").alias("own"), "row_ids", "n_words", "payload")
+    found, whole = found.repartition(chunks, "chunk"), whole.repartition(chunks, "own")
     return found.groupBy("chunk").cogroup(whole.groupBy("own")).applyInArrow(assemble, f"row_id long, n_tokens long, {names[0]} {kind}, {names[1]} {kind}")

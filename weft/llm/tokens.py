@@ -1,15 +1,16 @@
 """Words and ids of public tokenizers, with each distinct word encoded once a worker.
 
-Where texts are Latin-1, the pre-tokenizer's words are cut in arrays of characters (whose classes are
-written out in full below); any other text, and one with an added token's string such as <|endoftext|>
-(which is that token's id, as in the library's plain call), goes through the library whole. Words go through the library's merges once
-and are remembered in a cache of bounded size.
+Where texts are Latin-1 and the tokenizer cuts words by one of the patterns below, the words are cut in arrays of characters
+(whose classes are written out in full below); any other text, one with an added token's string such as <|endoftext|>
+(which is that token's id, as in the library's plain call), and every text of a tokenizer with another normalizer, pre-tokenizer
+or pattern goes through the library whole. Words go through the library's merges once and are remembered in a cache of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import sys
 from array import array
@@ -25,6 +26,20 @@ LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
 SPACES = "\t-\r \x85\xa0"
 
+#: Fixed values of the formats: the pattern of byte-level BPE, and the parts of a tokenizer's file, by kind, that `words` stands for.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUTS = {
+    "byte": {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+    "plain": {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [{"type": "Split", "pattern": {"Regex": PLAIN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+        },
+    },
+}
+
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _CLASS = np.full(256, _OTHER, np.uint8)
 for _kind, _of in ((_LETTER, LETTERS), (_NUMBER, NUMBERS), (_SPACE, SPACES)):
@@ -123,6 +138,9 @@ class Library:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tool = Tokenizer.from_str(source)
+        parts = json.loads(source)
+        #: If `words` cuts as this tokenizer does; else it gets all texts whole.
+        self.known = all(parts.get(k) == v for k, v in CUTS[kind].items())
         # Texts that hold an added token's string, in whatever case, go through the library whole.
         added = [re.escape(t.content) for t in self.tool.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
@@ -151,7 +169,7 @@ class Library:
         return out
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        raw = [None if self.added.search(t) else latin1(t) for t in texts]
+        raw = [None if not self.known or self.added.search(t) else latin1(t) for t in texts]
         found = words([x.translate(_LOWER) if self.kind == "plain" else x for x in raw if x is not None], self.kind == "byte")
         each = self._of_words(found.distinct)
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.dtype).itemsize
@@ -166,6 +184,13 @@ class Library:
         return self.ids_of([text])[0]
 
 
+def widest(source: str, *more: int) -> str:
+    """The type that holds every id of a tokenizer's file, and `more`."""
+    parts = json.loads(source)
+    top = max([*parts["model"]["vocab"].values(), *(t["id"] for t in parts.get("added_tokens", ())), *more])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
 def library(source: str, kind: str, dtype: str = "<u2") -> Library:
     """One for each worker and tokenizer."""
     key = (hashlib.md5(source.encode()).digest(), kind, dtype)
@@ -183,7 +208,7 @@ class Ranks:
 
         ranks = read_ranks(source)
         self.tool = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.known = regex.compile(pattern), pattern == SPACED
         #: Bytes of each id, one after another, with each one's start and length.
         top = max(ranks.values()) + 1
         each = [b""] * top
@@ -195,7 +220,7 @@ class Ranks:
 
     def split(self, texts: list[str]) -> Words:
         """Words in UTF-8."""
-        raw = [latin1(t) for t in texts]
+        raw = [latin1(t) if self.known else None for t in texts]
         found = words([x or b"" for x in raw], True)
         distinct = [w if w.isascii() else w.decode("latin-1").encode() for w in found.distinct]
         if not any(x is None for x in raw):
@@ -205,7 +230,7 @@ class Ranks:
         for k, (x, text) in enumerate(zip(raw, texts, strict=True)):
             own = found.places[found.first[k] : found.first[k + 1]]
             if x is None:
-                own = np.array([seen.setdefault(w.encode(), len(seen)) for w in self.pattern.findall(text)], np.int32)
+                own = np.array([seen.setdefault(m.group().encode(), len(seen)) for m in self.pattern.finditer(text) if m.group()], np.int32)
             parts.append(own)
         return Words(list(seen), np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
 
