@@ -174,3 +174,25 @@ def test_formats_refuse_what_they_cannot_hold():
         Parquet().check(t.Int8())
     with pytest.raises(TypeError):
         CSV().check(table(x=t.List(element=t.Int8())))
+
+
+def test_files_of_others_by_content(spark, tmp_path):
+    """Files that weft didn't write: an equal copy is the same content, and an equally long rewrite within one tick isn't."""
+    import os
+
+    one = tmp_path / "x.json"
+    one.write_text("12345")
+    os.utime(one, (1, 1))
+    by_content = SparkFile(path=str(one), by_content=True).of_type(t.String())
+    by_time = SparkFile(path=str(one)).of_type(t.String())
+    first, plain = by_content.discover()[0].content, by_time.discover()[0].content
+    os.utime(one, (2, 2))
+    assert by_content.discover()[0].content == first and by_time.discover()[0].content != plain
+    one.write_text("54321")
+    os.utime(one, (1, 1))
+    assert by_content.discover()[0].content != first
+
+
+def test_facts_are_bound_at_once():
+    s = LocalFile.rooted_at("/r").bind(type=table("date", date=t.Date()), format=JSON(), graph="g", tags={"a": "b"}, names=("x", "y"))
+    assert s.path == "/r/g/a=b/x/y/date_Y={date.Y}/date_m={date.m:02}/date_d={date.d:02}/{input_fingerprint}/y.json" and s.placeholders == {"date", "input_fingerprint"}

@@ -52,7 +52,7 @@ class Artifact:
             if not isinstance(own[k], base):
                 raise TypeError(f"{k} must be a {base.__name__}, got {own[k]!r}")
         own["format"].check(own["type"])
-        own["storage"] = own["storage"].of_type(own["type"]).of_format(own["format"])
+        own["storage"] = own["storage"].bind(type=own["type"], format=own["format"])
         # A class's notes come first, an instance's after them.
         for k in ("annotations", "statistics"):
             own[k] = tuple(getattr(cls, k)) + tuple(given.get(k, ()))

@@ -63,7 +63,7 @@ class SparkExecutor:
         """Link what is there already; a key counts as built only if every output has it."""
         with snapshot.graph.backend.connect() as b:
             known = [{s.key: s for s in b.partitions(a, prints)} for a in outputs]
-            whole = [k for k in prints if all(k in found and a.storage.exists(found[k].partition) for a, found in zip(outputs, known, strict=True))]
+            whole = {k for k in prints if all(k in found and a.storage.exists(found[k].partition) for a, found in zip(outputs, known, strict=True))}
             for a, found in zip(outputs, known, strict=True):
                 b.link(snapshot, snapshot.graph.key_of(a), [found[k] for k in whole])
         return [k for k in prints if k not in whole]

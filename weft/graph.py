@@ -92,13 +92,12 @@ class Graph:
 
     def _bind(self, a: Artifact, names: tuple[str, ...]) -> Artifact:
         """An artifact with its storage placed in the graph; a new version of a produced one has its own place."""
-        storage = a.storage.of_graph(self.name, self.path_tags).of_names(names)
-        if a.output is None:
-            storage = storage.of_input_fingerprint(None) if storage.holds_input_fingerprint else storage
-        else:
+        facts = {"graph": self.name, "tags": self.path_tags, "names": names}
+        storage = a.storage.bind(**facts, **({"input_fingerprint": None} if a.output is None else {}))
+        if a.output is not None:
             if getattr(storage, "value", None) is not None:
                 raise ValueError(f"{'.'.join(names)} is produced, so its literal can't be set")
-            if not storage.holds_input_fingerprint:
+            if "input_fingerprint" not in storage.placeholders:
                 raise ValueError(f"{'.'.join(names)} is produced, so its storage needs {{input_fingerprint}}")
         bound = a._with(storage=storage)
         if a.output is not None:

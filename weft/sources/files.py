@@ -97,12 +97,14 @@ def _sha256(path: str) -> str:
 class SparkFile(FileStorage):
     """Files in any store that Spark's own readers reach (hdfs, s3a, gs, viewfs, file).
 
-    A raw file's fingerprint is that of its path, length and time of change, which a listing gives without
-    reading the data; that of a folder is made of its files'. A folder that was written here has that of
-    its rows.
+    A raw file's fingerprint is the checksum that its store keeps, if it keeps one (HDFS does, object stores mostly
+    do); else that of its path, length and time of change, which a listing gives without
+    reading the data, or with `by_content` that of its bytes, which are read for it. That of a folder is made of its files'. A folder that
+    was written here has that of its rows.
     """
 
     plain_fields: ClassVar[tuple[str, ...]] = ()
+    by_content: bool = False
 
     @staticmethod
     def _system(path: str) -> tuple[Any, Any]:
@@ -130,13 +132,26 @@ class SparkFile(FileStorage):
             raise FileNotFoundError(partition.path)
         status = system.getFileStatus(where)
         if status.isFile():
-            return Fingerprint.of(partition.path, status.getLen(), status.getModificationTime())
+            return Fingerprint.of(*self._stamp(system, status))
         found, files = [], system.listFiles(where, True)
         while files.hasNext():
             x = files.next()
             if x.getPath().getName()[0] not in "._":
-                found.append([x.getPath().toString(), x.getLen(), x.getModificationTime()])
-        return Fingerprint.of(sorted(found))
+                found.append(self._stamp(system, x))
+        return Fingerprint.of(sorted(found, key=str))
+
+    def _stamp(self, system: Any, status: Any) -> list:
+        """What tells a file's content from another: the store's checksum, its bytes' digest, or its place, length and time."""
+        kept = system.getFileChecksum(status.getPath())
+        if kept is not None:
+            return [kept.getAlgorithmName(), bytes(kept.getBytes()).hex()]
+        if not self.by_content:
+            return [status.getPath().toString() if "://" in self.path else status.getPath().toUri().getPath(), status.getLen(), status.getModificationTime()]
+        stream = system.open(status.getPath())
+        try:  # a buffer at a time, in the driver's JVM
+            return ["SHA-256", current()._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)]
+        finally:
+            stream.close()
 
     def get(self, path: str) -> bytes:
         """A small file's bytes."""
