@@ -4,7 +4,7 @@ Words are runs of bytes other than ASCII white space. A suffix is retained where
 `STEP` suffixes that could begin a seed within a passage of `PASSAGE_WORDS` words, the one whose first `SEED_WORDS` words hash lowest.
 That choice depends on the passage's words alone, so two equal passages retain the same suffix, and no other
 suffixes need a look. Suffixes whose seed's hash occurs only once have no neighbour to match and are left out. The others are sorted by their
-first `PASSAGE_WORDS` words, by a range partitioning with the place as last key, so that even a passage that a third of all texts share is
+first `PASSAGE_WORDS` words, by a range partitioning on the first bytes with the place as last key, so that even a passage that a third of all texts share is
 dealt to many tasks. In that order neighbours are compared word by word: the words that they have in
 common to the right, and the ones before them, extend the match in both directions, and it is a passage where both ways together have
 `PASSAGE_WORDS`. Matches that reach the edge of a partition are settled between partitions, one row a passage and partition, by the
@@ -39,8 +39,11 @@ SEED_WORDS = 25
 #: Seeds of a passage.
 STEP = PASSAGE_WORDS - SEED_WORDS + 1
 
-#: Sorted suffixes that a task looks at together, and more where a run of equal seeds is longer.
-BLOCK_ROWS = 1 << 15
+#: Sorted suffixes that a task looks at together, and more where a run of equal prefixes is longer.
+BLOCK_ROWS = 1 << 13
+
+#: Bytes by which suffixes are dealt to partitions. The words of a seed and the blanks between them are more, so equal seeds agree on them.
+PREFIX_BYTES = 2 * SEED_WORDS - 2
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MARK = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -156,8 +159,8 @@ def _contexts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(of, "right binary, left binary, t long, id long, k long, place int, low int, high int")
 
 
-def _codes(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, list[bytes]]:
-    """A row of word numbers for each run of words, the nearest first; -1 where there are no more."""
+def _codes(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, int]:
+    """A row of word numbers for each run of words, the nearest first, -1 where there are no more; and how many words there are."""
     split = pc.split_pattern(column.cast(pa.large_binary()), b" ") if not backwards else pc.split_pattern(pc.binary_slice(column, 0, -1).cast(pa.large_binary()), b" ")
     found = split.flatten().dictionary_encode()
     offsets = split.offsets.to_numpy()
@@ -165,7 +168,7 @@ def _codes(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, l
     out = np.full((len(column), width), -1, np.int32)
     rows, at = np.repeat(np.arange(len(column)), sizes), _common.ragged(np.zeros(len(sizes), np.int64), sizes)
     out[rows, np.repeat(sizes, sizes) - 1 - at if backwards else at] = found.indices.to_numpy(zero_copy_only=False)[_common.ragged(offsets[:-1], sizes)]
-    return out, found.dictionary.to_pylist()
+    return out, len(found.dictionary)
 
 
 def _shared(right: np.ndarray) -> np.ndarray:
@@ -174,13 +177,14 @@ def _shared(right: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), right.shape[1], same.argmin(axis=1))
 
 
-def _matches(t: pa.RecordBatch, right: np.ndarray, common: np.ndarray, opens: int, closes: int) -> tuple[np.ndarray, list[tuple[bytes, int, int]]]:
+def _matches(t: pa.RecordBatch, opens: int, closes: int) -> tuple[np.ndarray, list[tuple[bytes, int, int]]]:
     """Of sorted suffixes, a mask of the passages around each that an earlier place has, and open ones (digest, row, words before).
 
-    Bit x of a mask: the passage that begins x words before the suffix. common: words shared with the next row.
-    Rows before `opens` and from `closes` on lie in runs that go on in other partitions, so their first places are open.
+    Bit x of a mask: the passage that begins x words before the suffix.
+    Rows before `opens` and from `closes` on may go on in other partitions, so their first places are open.
     """
-    left, names = _codes(t.column("left"), STEP - 1, True)
+    common = _shared(_codes(t.column("right"), PASSAGE_WORDS, False)[0])
+    left, n_words = _codes(t.column("left"), STEP - 1, True)
     id_, k, place, low, high = (t.column(c) for c in ("id", "k", "place", "low", "high"))
     low, high, keys = low.to_numpy(), high.to_numpy(), [id_.is_null().to_numpy(zero_copy_only=False), pc.fill_null(id_, 0).to_numpy(), k.to_numpy(), place.to_numpy()]
     order = np.lexsort(keys[::-1])
@@ -191,10 +195,9 @@ def _matches(t: pa.RecordBatch, right: np.ndarray, common: np.ndarray, opens: in
     edge = np.ones(len(rank), bool)
     edge[opens:closes] = False
     before = np.zeros(len(rank), np.int64)
-    words_of: list[list[bytes]] | None = None
     for x in range(STEP):
         if x:  # equal in one word more to the left
-            before = np.unique(before * (len(names) + 1) + left[:, x - 1] + 1, return_inverse=True)[1].ravel()
+            before = np.unique(before * (n_words + 1) + left[:, x - 1] + 1, return_inverse=True)[1].ravel()
         rows = np.flatnonzero((low <= x) & (x <= high))
         if not len(rows):
             continue
@@ -207,37 +210,35 @@ def _matches(t: pa.RecordBatch, right: np.ndarray, common: np.ndarray, opens: in
         own = rows[by]
         mask[own[rank[own] > rank[np.repeat(first, np.diff(np.append(np.flatnonzero(fresh), len(by))))]]] |= 1 << x
         for row in first[edge[first]].tolist():
-            if words_of is None:
-                words_of = [t.column("right").to_pylist(), t.column("left").to_pylist()]
-            whole = b" ".join([*(words_of[1][row].split()[-x:] if x else ()), *words_of[0][row].split()[: PASSAGE_WORDS - x]])
+            after, ahead = (t.column(c)[row].as_py().split() for c in ("right", "left"))
+            whole = b" ".join([*(ahead[-x:] if x else ()), *after[: PASSAGE_WORDS - x]])
             ends.append((hashlib.blake2b(whole, digest_size=16).digest(), row, x))
     return mask, ends
 
 
 def repeats(contexts: DataFrame) -> DataFrame:
     """(t, place, mask) of suffixes of which passages are repeats: bit x of the mask for the one that begins x words before."""
-    order = ["right", "id", "k", "place"]
+    ties = ["id", "k", "place"]
     size = contexts.agg(F.sum(F.octet_length("right") + F.octet_length("left") + 60)).head()[0] or 0
     block = BLOCK_ROWS
-    dealt = contexts.repartitionByRange(_common.partitions(contexts.sparkSession, size), *order).sortWithinPartitions(*order)
+    dealt = contexts.repartitionByRange(_common.partitions(contexts.sparkSession, size), F.substring("right", 1, PREFIX_BYTES), *ties).sortWithinPartitions("right", *ties)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        begun = False  # a run that doesn't touch the partition's beginning has been reached
+        begun = False  # a prefix that isn't the partition's first has been reached
 
         def out(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, begun
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            right, _ = _codes(t.column("right"), PASSAGE_WORDS, False)
-            common = _shared(right)
-            turns = np.flatnonzero(common < SEED_WORDS) + 1
+            prefix = pc.binary_slice(t.column("right"), 0, PREFIX_BYTES)
+            turns = np.flatnonzero(pc.not_equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)) + 1
             if not final and not len(turns):
                 held = [t]
                 return
             to = t.num_rows if final else int(turns[-1])
             opens = 0 if begun else (int(turns[0]) if len(turns) else t.num_rows)
             closes = (int(turns[-1]) if len(turns) else 0) if final else to
-            mask, ends = _matches(t.slice(0, to), right[:to], common[: to - 1], opens, closes)
+            mask, ends = _matches(t.slice(0, to), opens, closes)
             begun, held = True, [] if final else [t.slice(to)]
             some = np.flatnonzero(mask)
             index = pa.array(np.concatenate((some, np.array([row for _, row, _ in ends], np.int64))))
