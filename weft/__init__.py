@@ -1,7 +1,7 @@
 """Declarative data production on Spark: typed, stored artifacts, producers over DataFrames, graphs that build what is missing."""
 
 from weft.artifact import Annotation, Artifact
-from weft.backend import MemoryBackend
+from weft.backend import Backend, Connection, FolderBackend, MemoryBackend
 from weft.executor import SparkExecutor
 from weft.formats import CSV, JSON, Format, Parquet, Pickle
 from weft.graph import Graph, GraphSnapshot
@@ -16,7 +16,7 @@ from weft.versions import Version
 from weft.views import View
 
 __all__ = [
-    "CSV", "JSON", "Annotation", "Artifact", "CloudFile", "Fingerprint", "Format", "Graph", "GraphSnapshot", "InputFingerprints", "LocalFile", "MemoryBackend", "NotPartitioned", "Parquet",
+    "CSV", "JSON", "Annotation", "Artifact", "Backend", "CloudFile", "Connection", "Fingerprint", "FolderBackend", "Format", "Graph", "GraphSnapshot", "InputFingerprints", "LocalFile", "MemoryBackend", "NotPartitioned", "Parquet",
     "Partition", "PartitionDependencies", "PartitionField", "PartitionKey", "Pickle", "Producer", "Snapshot", "SparkExecutor", "SparkFile", "Statistic", "Storage", "StringLiteral", "Threshold",
     "Type", "Version", "View", "producer", "read", "register_reader", "register_writer", "write",
 ]

@@ -10,7 +10,7 @@ from typing import Any
 
 from weft import io
 from weft.artifact import Artifact
-from weft.backend import MemoryBackend
+from weft.backend import Backend, Connection, MemoryBackend
 from weft.model import Fingerprint, frozendict
 from weft.partitions import NotPartitioned, PartitionKey
 from weft.producer import Producer
@@ -66,7 +66,7 @@ class ArtifactBox:
 class Graph:
     """A named graph. Artifacts are set in a ``with`` block, at whose end the graph is checked and closed."""
 
-    def __init__(self, name: str, backend: MemoryBackend | None = None, path_tags: Mapping[str, str] = frozendict()) -> None:
+    def __init__(self, name: str, backend: Backend | None = None, path_tags: Mapping[str, str] = frozendict()) -> None:
         self.name, self.backend, self.path_tags = name, backend or MemoryBackend(), frozendict(path_tags)
         self.sealed = True
         self.artifacts = ArtifactBox(self)
@@ -105,6 +105,10 @@ class Graph:
             made.outputs = tuple(bound if k == a.output.position else o for k, o in enumerate(made.outputs))
         return bound
 
+    def __getstate__(self) -> dict:
+        """For a backend that keeps graphs: without the backend itself, and without what is worked out again."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("backend", "keys", "dependencies", "producers")}
+
     def _closed(self) -> None:
         if not self.sealed:
             raise ValueError(f"{self.name} is still open")
@@ -143,8 +147,8 @@ class Graph:
         self._closed()
         return Fingerprint.of(self.name, self.path_tags, sorted((k, int(a.fingerprint.key), a.output and int(a.output.producer.fingerprint.key), a.output and a.output.position) for a, k in self.keys.items()))
 
-    def snapshot(self) -> GraphSnapshot:
-        """The graph with the content of its raw artifacts as it is now."""
+    def snapshot(self, *, connection: Connection | None = None) -> GraphSnapshot:
+        """The graph with the content of its raw artifacts as it is now. connection: one that is open, instead of a new one."""
         self._closed()
         raw: dict[str, tuple[Snapshot, ...]] = {}
         for a, k in self.keys.items():
@@ -154,7 +158,7 @@ class Graph:
                     raise ValueError(f"no data for {k}: {a.storage}")
         contents = sorted((k, int(s.key.fingerprint.key), int(s.content.key)) for k, found in raw.items() for s in found)
         made = GraphSnapshot(self, Fingerprint.of(self.fingerprint, contents))
-        with self.backend.connect() as b:
+        with (connection or self.backend).connect() as b:
             b.write_graph(self)
             b.write_snapshot(made)
             for a, k in self.keys.items():
@@ -166,16 +170,16 @@ class Graph:
     def build(self, executor: Any = None) -> GraphSnapshot:
         return self.snapshot().build(executor)
 
-    def read(self, a: Artifact, annotation: Any = None, *, view: Any = None) -> Any:
+    def read(self, a: Artifact, annotation: Any = None, *, view: Any = None, connection: Connection | None = None) -> Any:
         """An artifact's data as the hint or view says. What is produced is read by a snapshot of now."""
         found = _view(annotation, view)
         if a.output is not None:
-            return self.snapshot().read(a, view=found)
+            return self.snapshot(connection=connection).read(a, view=found, connection=connection)
         self.key_of(a)
         check(found, a.type)
         return io.read(a.type, a.format, a.storage.discover(), found)
 
-    def write(self, data: Any, a: Artifact, *, input_fingerprint: Fingerprint | None = None, key: PartitionKey = NotPartitioned, view: Any = None, snapshot: GraphSnapshot | None = None) -> Snapshot:
+    def write(self, data: Any, a: Artifact, *, input_fingerprint: Fingerprint | None = None, key: PartitionKey = NotPartitioned, view: Any = None, snapshot: GraphSnapshot | None = None, connection: Connection | None = None) -> Snapshot:
         """Write one partition and record it."""
         k = self.key_of(a)
         if a.output is None and snapshot is not None:
@@ -183,7 +187,7 @@ class Graph:
         found = view_for(view or type(data))
         check(found, a.type)
         made = io.write(data, a.type, a.format, a.storage.partition(key, input_fingerprint), found)
-        with self.backend.connect() as b:
+        with (connection or self.backend).connect() as b:
             b.record(a, [made])
             if snapshot is not None:
                 b.link(snapshot, k, [made])
@@ -210,15 +214,15 @@ class GraphSnapshot:
         (executor or SparkExecutor()).build(self)
         return self
 
-    def partitions(self, a: Artifact) -> frozenset[Snapshot]:
-        with self.graph.backend.connect() as b:
+    def partitions(self, a: Artifact, *, connection: Connection | None = None) -> frozenset[Snapshot]:
+        with (connection or self.graph.backend).connect() as b:
             return b.linked(self, self.graph.key_of(a))
 
-    def read(self, a: Artifact, annotation: Any = None, *, view: Any = None, verify: bool = False) -> Any:
+    def read(self, a: Artifact, annotation: Any = None, *, view: Any = None, verify: bool = False, connection: Connection | None = None) -> Any:
         """As of the snapshot. verify: fail if the data changed since."""
         found = _view(annotation, view)
         check(found, a.type)
-        parts = self.partitions(a)
+        parts = self.partitions(a, connection=connection)
         if verify:
             for s in parts:
                 if s.partition.snapshot().content != s.content:
@@ -228,12 +232,12 @@ class GraphSnapshot:
     def write(self, data: Any, a: Artifact, **kwargs: Any) -> Snapshot:
         return self.graph.write(data, a, snapshot=self, **kwargs)
 
-    def tag(self, tag: str, overwrite: bool = False) -> None:
-        with self.graph.backend.connect() as b:
+    def tag(self, tag: str, overwrite: bool = False, *, connection: Connection | None = None) -> None:
+        with (connection or self.graph.backend).connect() as b:
             b.write_tag(self, tag, overwrite)
 
     @classmethod
-    def from_tag(cls, name: str, tag: str, backend: MemoryBackend) -> GraphSnapshot:
+    def from_tag(cls, name: str, tag: str, backend: Backend | Connection) -> GraphSnapshot:
         with backend.connect() as b:
             return b.read_tag(name, tag)
 

@@ -127,6 +127,9 @@ class frozendict(dict):
     def __ror__(self, other: Mapping) -> frozendict:  # type: ignore[override]
         return frozendict({**other, **self})
 
+    def __reduce__(self) -> tuple:
+        return type(self), (dict(self),)
+
     def _closed(self, *_: Any, **__: Any) -> Any:
         raise TypeError("a frozendict can't be changed")
 

@@ -24,6 +24,7 @@ NOTE = "_weft.json"
 
 @dataclasses.dataclass(frozen=True, kw_only=True)
 class FileStorage(Storage):
+    located: ClassVar[tuple[str, ...]] = ("path",)
     path: str = DEFAULT
 
     def _found(self, pattern: str) -> list[str]:

@@ -19,6 +19,7 @@ class StringLiteral(Storage):
     """A string with a preset value, or one for each partition that a producer writes."""
 
     plain_fields: ClassVar[tuple[str, ...]] = ("value",)
+    located: ClassVar[tuple[str, ...]] = ("id",)
     id: str = DEFAULT
     value: str | None = None
 
