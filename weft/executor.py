@@ -79,8 +79,19 @@ class SparkExecutor:
         return tuple(found)
 
     def build_one(self, snapshot: GraphSnapshot, made: Producer, outputs: tuple[Artifact, ...], key: PartitionKey, needs: Mapping[str, tuple[Snapshot, ...]], input_fingerprint: Fingerprint) -> None:
-        """Write every output beside its place, check all, then put all in place and record them."""
+        """Write every output beside its place, check all, then put all in place and record them.
+
+        Outputs that are made together share their computation, so it is kept until all are written.
+        """
         found = self.call(made, needs)
+        kept = [d.persist(StorageLevel.MEMORY_AND_DISK) for d in found if isinstance(d, DataFrame)] if len(found) > 1 else []
+        try:
+            self.place(snapshot, made, outputs, key, found, input_fingerprint)
+        finally:
+            for d in kept:
+                d.unpersist()
+
+    def place(self, snapshot: GraphSnapshot, made: Producer, outputs: tuple[Artifact, ...], key: PartitionKey, found: tuple[Any, ...], input_fingerprint: Fingerprint) -> None:
         places = [a.storage.partition(key, input_fingerprint) for a in outputs]
         staged: list[tuple[str, Fingerprint] | None] = []
         try:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft import io, stats, types
 from weft.artifact import Artifact, literal
 from weft.formats import Parquet
-from weft.functions import components, fold_xor
+from weft.functions import components, fold_xor, vectorised
 from weft.graph import Graph, GraphSnapshot
 from weft.operators.joins import asof_join, range_join, top_k
 from weft.partitions import DateField, PartitionKey
@@ -18,7 +19,7 @@ from weft.plans.graphs import built, each, event_keys, events_by, made, output,
 from weft.session import fresh_dir
 from weft.sources import SparkFile
 from weft.sources.base import DEFAULT
-from weft.streaming import session_windows, sliding, tumbling
+from weft.streaming import run_available, session_windows, sliding, tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,3 +485,58 @@ def _(events: DataFrame) -> DataFrame:
 )
 def _(events: DataFrame) -> DataFrame:
     return session_windows(events, "ts", "6 hours", _aggregates(), ["user_id"])
+
+
+@query(
+    """with t as (select max(ts) as last, date_trunc('day', max(ts)) as newest, date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) as middle from events)
+    select date_trunc('hour', ts) as window_start, date_trunc('hour', ts) + interval 1 hour as window_end, event_type, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as spend
+    from events, t where ts >= middle and date_trunc('hour', ts) + interval 1 hour <= last - interval 10 minute group by 1, 2, 3"""
+)
+def ext_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream with a watermark of ten minutes, in three batches: those from the middle day on, the newest day, and
+    then the first half, which comes too late for its windows. Windows that the watermark hasn't passed stay open. Watermarks need instants, so clock
+    times are read, and given back, in the session's zone."""
+    events, root = table(spark, sf_dir, "events"), fresh_dir(spark)
+    t = events.agg(F.max("ts").alias("last"), F.date_trunc("day", F.max("ts")).alias("newest"), F.date_trunc("day", F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("middle")).first()
+    ts = F.col("ts")
+    parts = [(ts >= t.middle) & (ts < t.newest), ts >= t.newest, ts < t.middle]
+    out = events
+    for part in parts:  # each run takes what arrived since the last one, from its checkpoint
+        events.where(part).write.mode("append").parquet(f"{root}/arrived")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/arrived").withColumn("ts", ts.cast("timestamp"))
+        out = run_available(tumbling(stream, "ts", "1 hour", _aggregates(), ["event_type"], delay="10 minutes"), f"{root}/out", f"{root}/state")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@over("ext_udf_vectorised", ["lineitem"], "select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as net from lineitem")
+def _(lineitem: DataFrame) -> DataFrame:
+    net = vectorised.scalar("double")(_net)
+    return lineitem.select("l_orderkey", "l_linenumber", net("l_extendedprice", "l_discount").alias("net"))
+
+
+def _net(price: pd.Series, discount: pd.Series) -> pd.Series:
+    return price * (1 - discount)
+
+
+@over("ext_udaf", ["events"], "select event_type, count(value) as n, min(value) as least, max(value) as most, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by 1")
+def _(events: DataFrame) -> DataFrame:
+    """A user's aggregate, a state for each key of each batch."""
+    merge = [F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("cents").alias("cents")]
+    return vectorised.aggregate(events.select("event_type", "value"), ["event_type"], _spread, "event_type string, n long, least double, most double, cents long", merge)
+
+
+def _spread(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.assign(cents=(rows.value * 100).round().fillna(0).astype("int64"))
+    return rows.groupby("event_type", dropna=False, as_index=False).agg(n=("value", "count"), least=("value", "min"), most=("value", "max"), cents=("cents", "sum"))
+
+
+@over("ext_udtf", ["part"], "select p_partkey, cast(k as integer) as place, w as word from (select p_partkey, unnest(string_split(p_name, ' ')) as w, generate_subscripts(string_split(p_name, ' '), 1) as k from part)")
+def _(part: DataFrame) -> DataFrame:
+    words = vectorised.table("place int, word string")(_Words)
+    return part.lateralJoin(words(F.col("p_name").outer())).select("p_partkey", "place", "word")
+
+
+class _Words:
+    def eval(self, text: str) -> Iterator[tuple[int, str]]:
+        if text is not None:
+            yield from enumerate(text.split(" "), 1)
