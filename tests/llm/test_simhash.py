@@ -160,6 +160,42 @@ def test_similar_texts_are_those_of_brute_force(spark):
     assert sum((bits[i] ^ bits[k]).bit_count() > 4 for i, k in want.items()) > 20  # the radius of op2 misses them
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_alike_joins_what_all_pairs_join(similarity):
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n, kinds = int(rng.integers(2, 50)), int(rng.integers(3, 80))
+        base = [rng.integers(0, kinds, int(rng.integers(0, 40))) for _ in range(4)]
+        picked = [x[rng.random(len(x)) > 0.1] for x in (base[k] for k in rng.integers(0, 4, n))]
+        sets = [np.unique(np.append(x, rng.integers(0, kinds, int(rng.integers(0, 3))))).astype(np.uint64) for x in picked]
+        plain = [set(x.tolist()) for x in sets]
+        want = [(i, j) for i in range(n) for j in range(i + 1, n) if len(plain[i] & plain[j]) >= similarity * len(plain[i] | plain[j]) - 1e-9]
+        got = simhash.alike(sets, similarity)
+        assert set(got) <= set(want) and _labels(n, got) == _labels(n, want)
+    assert simhash.alike([np.zeros(0, np.uint64)] * 3, similarity) == [(0, 1), (0, 2)]
+
+
+def _labels(n, links):
+    label = list(range(n))
+    for a, b in links:
+        new, old = sorted((label[a], label[b]))
+        label = [new if x == old else x for x in label]
+    return label
+
+
+def test_a_shared_passage_makes_no_pairs():
+    """Texts that share half of their shingles are not compared one by one."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.append(common, rng.integers(0, 1 << 63, 300).astype(np.uint64))) for _ in range(1024)]
+    compared = []
+    ragged = simhash._common.ragged
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash._common, "ragged", lambda starts, lengths: compared.append(int(lengths.sum())) or ragged(starts, lengths))
+        assert simhash.alike(sets, 0.8) == []
+    assert sum(compared) < 1024 * 600  # all pairs would be 300 million elements
+
+
 def test_a_group_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PART_TEXTS", 8)
     base = [f"w{k}" for k in range(300)]

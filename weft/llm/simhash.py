@@ -273,14 +273,35 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join what pairs of that exact Jaccard similarity join; each set sorted, without repeats."""
+    """Links that join what pairs of that exact Jaccard similarity join; each set sorted, without repeats.
+
+    With all sets ordered alike, rarest elements first, two such sets share an element in their first
+    len - ceil(similarity * len) + 1 ones; so only sets that do are compared, and what many texts have in common makes no pairs.
+    """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    _, element, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((element, counts[element], owner))
+    heads = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    head = (np.arange(len(flat)) - starts[owner] < heads[owner]) & (counts[element[order]] > 1)
+    element, owner = element[order][head], owner[head]
+    bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
+    holders = owner[np.argsort(element, kind="stable")]
+    of = np.cumsum(np.bincount(element, minlength=len(counts)))
     label, found = np.arange(len(sets)), []
     for i, own in enumerate(sets):
         # Pairs that other links join already needn't be compared, so that a dense group is one pass.
-        rest = np.flatnonzero((label != label[i]) & (np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own)) - 1e-9))
-        rest = rest[rest > i]
+        if (label[i + 1 :] == label[i]).all():
+            continue
+        if len(own):
+            mine = element[bounds[i] : bounds[i + 1]]
+            before = np.where(mine > 0, of[mine - 1], 0)
+            rest = np.unique(holders[_common.ragged(before, of[mine] - before)])
+        else:
+            rest = np.arange(len(sets))
+        rest = rest[(rest > i) & (label[rest] != label[i])]
+        rest = rest[np.minimum(sizes[rest], len(own)) >= similarity * np.maximum(sizes[rest], len(own)) - 1e-9]
         if not len(rest):
             continue
         if len(own):
