@@ -114,6 +114,35 @@ def test_words_that_hash_alike_are_not_cut(spark):
     assert run(spark, docs) == want(docs) == sorted(((str(i), t, []) for i, t in docs), key=str)
 
 
+def test_a_line_that_texts_repeat(spark, monkeypatch):
+    """Only the first places of a text's own repeats are sorted, however often it has them."""
+    rows = {}
+    stash = suffix_dedup._common.stash
+
+    def counted(df, name):
+        out = stash(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup._common, "stash", counted)
+    rng = random.Random(11)
+    block = prose(rng, 70)
+    docs = [(k, f"{prose(rng, rng.randint(0, 60))} {'On he. ' * rng.randint(100, 400)}{prose(rng, rng.randint(0, 60))}") for k in range(40)]
+    docs += [(100 + k, " ".join([prose(rng, 9), *[block] * 5, prose(rng, 9)])) for k in range(3)] + [(200, "a b " * 300), (201, " ".join([prose(rng, 60)] * 4)), (None, docs[0][1] + " end")]
+    assert run(spark, docs) == want(docs)
+    assert rows["contexts"] < 10 * len(docs) and rows["repeats"] < 30 * len(docs)
+
+
+def test_own_words_that_hash_alike_are_not_cut(spark):
+    a = ["a", "b"]
+    for _ in range(11):
+        a = [a[0] + a[1], a[1] + a[0]]
+    rng = random.Random(12)
+    x, y = prose(rng, 30), prose(rng, 30)
+    docs = [(1, f"{x} {a[0]} {y} {x} {a[1]} {y}"), (2, f"{x} {a[0]} {y} {x} {a[0]} {y}")]
+    assert run(spark, docs) == want(docs)
+
+
 def test_clashing_names(spark):
     rng = random.Random(10)
     p = prose(rng, 60)

@@ -3,7 +3,8 @@
 Words are runs of bytes other than ASCII white space. A suffix is retained where a minimiser stands: of the
 `STEP` suffixes that could begin a seed within a passage of `PASSAGE_WORDS` words, the one whose first `SEED_WORDS` words hash lowest.
 That choice depends on the passage's words alone, so two equal passages retain the same suffix, and no other
-suffixes need a look. Suffixes whose seed's hash occurs only once have no neighbour to match and are left out. The others are sorted by their
+suffixes need a look. Passages that a text itself has at an earlier place are settled within the text, by its words, so a line that a text repeats many times
+gives the sort its first places only. Suffixes whose seed's hash no other text has have no neighbour to match and are left out. The others are sorted by their
 first `PASSAGE_WORDS` words, by a range partitioning on the first bytes with the place as last key, so that even a passage that a third of all texts share is
 dealt to many tasks. In that order neighbours are compared word by word: the words that they have in
 common to the right, and the ones before them, extend the match in both directions, and it is a passage where both ways together have
@@ -125,22 +126,61 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return docs.where(_long(F.col("text"))).select("k", "text").mapInArrow(of, "seed long, k long, twice boolean")
 
 
+def _paired(names: np.ndarray, by: int) -> np.ndarray:
+    """Numbers of the pairs of each name and the one `by` places on, equal for equal pairs."""
+    return np.unique(names[: len(names) - by] * (int(names.max()) + 1) + names[by:], return_inverse=True)[1].ravel()
+
+
+def _again(body: list[bytes]) -> np.ndarray:
+    """Of each passage of a text, whether the text has the same words at an earlier place."""
+    numbers: dict[bytes, int] = {}
+    names, size = np.array([numbers.setdefault(w, len(numbers)) for w in body], np.int64), 1
+    while 2 * size <= PASSAGE_WORDS:
+        names, size = _paired(names, size), 2 * size
+    names = _paired(names, PASSAGE_WORDS - size)  # two stretches that overlap
+    again = np.ones(len(names), bool)
+    again[np.unique(names, return_index=True)[1]] = False
+    return again
+
+
+def _covered(edge: np.ndarray) -> np.ndarray:
+    """Begins and ends of what stretches cover, by how many more of them begin than end at each word and after the last."""
+    gone = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
+    return np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+
+
 def _contexts(texts: DataFrame) -> DataFrame:
-    """Retained suffixes with a shared seed: their words, those before them, and how many words before them a passage may begin."""
+    """Retained suffixes with a shared seed: their words, those before them, and how many words before them a passage may begin.
+
+    Suffixes all of whose passages the text has before are left out. Rows without words are what a text repeats of itself: so many words from a place on.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches, "text"):
             right, left, owners, places, low, high = [], [], [], [], [], []
+            selves, begun, lengths = [], [], []
             for row, (text, seeds) in enumerate(zip(batch.column("text").to_pylist(), batch.column("seeds"), strict=True)):
                 raw = text.encode()
                 p = minimisers(np.frombuffer(raw, np.uint8))
                 if p is None:
                     continue
                 at, first, times = np.unique(p[1], return_index=True, return_counts=True)
-                some = np.flatnonzero(np.isin(p[0][first], seeds.values.to_numpy().view(np.uint64)))
-                if not len(some):
+                some = np.isin(p[0][first], seeds.values.to_numpy().view(np.uint64))
+                twice = len(np.unique(p[0][first])) < len(first)
+                if not twice and not some.any():
                     continue
                 body = raw.split()
+                if twice:
+                    again = _again(body)
+                    some &= ~np.logical_and.reduceat(again, first)  # a suffix's passages follow one another
+                    edge = np.zeros(len(body) + 1, np.int64)
+                    edge[: len(again)] += again
+                    edge[PASSAGE_WORDS:] -= again
+                    for a, b in _covered(edge).tolist():
+                        selves.append(row)
+                        begun.append(a)
+                        lengths.append(b - a)
+                some = np.flatnonzero(some)
                 plain = b" ".join(body)
                 ends = np.cumsum([len(w) + 1 for w in body])
                 begins = np.concatenate(([0], ends[:-1]))
@@ -151,12 +191,14 @@ def _contexts(texts: DataFrame) -> DataFrame:
                     places.append(place)
                     low.append(place - since - n + 1)
                     high.append(place - since)
-            if owners:
-                index = pa.array(owners)
+            if owners or selves:
+                index = pa.array(owners + selves, pa.int64())
                 own = [batch.column(c).take(index) for c in ("t", "id", "k")]
-                yield pa.RecordBatch.from_arrays([pa.array(right, pa.binary()), pa.array(left, pa.binary()), *own, *(pa.array(x, pa.int32()) for x in (places, low, high))], names=["right", "left", "t", "id", "k", "place", "low", "high"])
+                none = [None] * len(selves)
+                numbers = (places + begun, low + none, high + none, [None] * len(owners) + lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(right + none, pa.binary()), pa.array(left + none, pa.binary()), *own, *(pa.array(x, pa.int32()) for x in numbers)], names=["right", "left", "t", "id", "k", "place", "low", "high", "words"])
 
-    return texts.mapInArrow(of, "right binary, left binary, t long, id long, k long, place int, low int, high int")
+    return texts.mapInArrow(of, "right binary, left binary, t long, id long, k long, place int, low int, high int, words int")
 
 
 def _codes(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, int]:
@@ -266,8 +308,8 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     digest = F.when(_long(F.col(text)), F.sha2(text, 256))
     bare = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("k"), digest.alias("sha"))
     suffixes = _common.stash(_suffixes(bare), "seeds")
-    shared = suffixes.groupBy("seed").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max("twice").alias("twice")).where("a <> b or twice").select(F.col("seed").alias("shared"))
-    of_text = suffixes.join(shared, F.col("seed") == F.col("shared")).groupBy(F.col("k").alias("own")).agg(F.collect_set("seed").alias("seeds"))
+    shared = suffixes.groupBy("seed").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max("twice").alias("twice")).where("a <> b or twice").select(F.col("seed").alias("shared"), F.expr("a <> b").alias("others"))
+    of_text = suffixes.join(shared, F.col("seed") == F.col("shared")).groupBy(F.col("k").alias("own")).agg(F.collect_set(F.when(F.col("others"), F.col("seed"))).alias("seeds"))
     texts = bare.where("sha is not null").groupBy("sha", "k").agg(F.min("id").alias("first"))
     known = texts.join(of_text, F.col("k") == F.col("own"), "left").select("sha", "k", "first", "seeds")
     known = _common.stash(known.withColumn("t", F.monotonically_increasing_id()), "texts")
@@ -275,7 +317,9 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     found = bare.join(one, (F.col("sha") == F.col("same")) & F.col("id").eqNullSafe(F.col("first"))).select("t", "id", "k", "text", "seeds")
     # Sorting samples its input, which therefore is a table.
     contexts = _common.stash(_contexts(found), "contexts")
-    later = repeats(contexts).groupBy(F.col("t").alias("of")).agg(F.collect_list(F.struct("place", "mask")).alias("cuts"))
+    later = repeats(contexts.where("right is not null").drop("words")).withColumn("words", F.lit(PASSAGE_WORDS))
+    selves = contexts.where("right is null").select("t", "place", F.lit(1).alias("mask"), "words")
+    later = later.union(selves).groupBy(F.col("t").alias("of")).agg(F.collect_list(F.struct("place", "mask", "words")).alias("cuts"))
     plan = known.join(later, F.col("t") == F.col("of"), "left").select(F.col("sha").alias("same"), "first", "cuts")
     plan = _common.stash(plan, "passages")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(doc_id).cast("long").alias("id"), digest.alias("sha"))
@@ -297,25 +341,24 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
                             spans[k], body[k] = [(0, len(body[k]))], ""
                     elif cuts[k].is_valid:
                         own = cuts[k].values
-                        body[k], spans[k] = _without(body[k], own.field("place").to_numpy(), own.field("mask").to_numpy())
+                        body[k], spans[k] = _without(body[k], *(own.field(c).to_numpy() for c in ("place", "mask", "words")))
                 done = [pa.array(body, pa.string()) if c == where else batch.column(c) for c in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*done, pa.array([[{"start": a, "end": b} for a, b in s or ()] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*kept, "spans"])
 
     return rows.mapInArrow(apply, schema)
 
 
-def _without(text: str, places: np.ndarray, masks: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the words of passages that an earlier text or place has, and what was cut."""
+def _without(text: str, places: np.ndarray, masks: np.ndarray, lengths: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the words of passages that an earlier text or place has, and what was cut: `lengths` words from x before a place on, for each bit x of its mask."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     starts, ends = words(data)
     edge = np.zeros(len(starts) + 1, np.int64)
     for x in range(STEP):
-        at = places[masks >> x & 1 == 1] - x
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + PASSAGE_WORDS, -1)
-    gone = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
-    turns = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+        some = masks >> x & 1 == 1
+        np.add.at(edge, places[some] - x, 1)
+        np.add.at(edge, places[some] - x + lengths[some], -1)
+    turns = _covered(edge)
     if not len(turns):
         return text, []
     parts, spans, last = [], [], 0
